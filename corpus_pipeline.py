@@ -1,7 +1,60 @@
-"""A training-corpus pipeline over ``documents``."""
-STAGES = []
+"""A training-corpus pipeline over ``documents``: what is toxic goes, then copies, then near copies,
+then the rest is sampled to target weights and encoded.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tabulon.llm import exact_dedup, jaccard_join, mixing, sp_nbest, toxicity
+from tabulon.llm._store import saved
+from tabulon.llm.queries import tokenizer_file
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted to ``labels``, doesn't flag for their language."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id."""
+    return exact_dedup.keep_one(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 or more of five-word shingles, the smallest id."""
+    return jaccard_join.keep_one(docs, n=5, threshold=0.8)
+
+
+def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target marginals of source, language and topic."""
+    return mixing.keep_sampled(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the best segmentation of each text, and the scores of the n best."""
+    return sp_nbest.encode(docs, tokenizer_file("piece_bpe_32k.model")).drop("decoded")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", sample_mix),
+    ("sentencepiece", encode_texts),
+]
+
+#: A trained classifier and a segmentation can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
