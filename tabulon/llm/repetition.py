@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from tabulon.llm import _words
 from tabulon.llm._store import map_arrow
 
-#: n-gram length and the largest share of a text's word characters in repeated n-grams of it.
-NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+#: n-gram length and the largest share of a text's word characters in repeated n-grams of it; one
+#: line said twice in a short text stays below.
+NGRAM_LIMITS = {5: 0.25, 6: 0.24, 7: 0.22, 8: 0.20, 9: 0.18, 10: 0.16}
 #: Largest share of characters in lines that equal an earlier one, and of such lines.
-LINE_CHARS_LIMIT = 0.20
-LINES_LIMIT = 0.30
+LINE_CHARS_LIMIT = 0.25
+LINES_LIMIT = 0.50
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 BASE_WINDOW = 8
