@@ -24,19 +24,21 @@ def _at(spread, path: str):
 def array_text(c: Column, path: str) -> Column:
     """The strings that a path reaches through any arrays on its way, joined by line feeds.
 
-    Values of other kinds are left out; null and malformed JSON give ''.
+    Arrays within arrays count to a depth of two. Values of other kinds are left out; null and
+    malformed JSON give ''.
     """
     cur = F.array(F.try_parse_json(c))
 
     def spread(v: Column, at: str) -> Column:
         return F.coalesce(F.try_variant_get(v, at, "array<variant>"), F.array(F.try_variant_get(v, at, "variant")))
 
-    cur = F.flatten(F.transform(cur, lambda v: spread(v, "$")))
+    for _ in range(2):
+        cur = F.flatten(F.transform(cur, _at(spread, "$")))
     for key in check_array_path(path):
         at = f"$.{key}" if key.isidentifier() else f"$['{key}']"
         cur = F.flatten(F.transform(cur, _at(spread, at)))
         # An array in an array is flattened too.
-        cur = F.flatten(F.transform(cur, lambda v: spread(v, "$")))
+        cur = F.flatten(F.transform(cur, _at(spread, "$")))
     strings = F.transform(F.filter(cur, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
     return F.coalesce(F.array_join(strings, "\n"), F.lit(""))
 
