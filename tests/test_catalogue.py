@@ -1,6 +1,5 @@
 import pytest
-from compare import connect, same
-from conftest import DATA
+from compare import DATA, connect, same
 
 from tabulon.plans import catalogue
 
