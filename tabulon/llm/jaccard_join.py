@@ -11,9 +11,10 @@ the first one they share, what both have passed doesn't exceed that difference.
 document only can't be shared, so of every document little is left to be matched. Documents so
 short that the first fragment might not hold enough of them go by all their n-grams instead.
 
-Components need not every link. First the members of an n-gram's group are held against one of
-them, the one with the fewest n-grams of its own; what links becomes a component. Then members of
-different components are held against each other. A bitmap of each set gives a lower bound of the
+Components need not every link. First the members of an n-gram's group are held against a few of
+them, those whose sets have the least hashes, on which groups with many members in common mostly
+agree. What links becomes a component. Then those with the most links so far are held against
+members of other components, and at last all members of different components against each other. A bitmap of each set gives a lower bound of the
 difference, so pairs that can't link are dropped inside the join. Identical sets are one node.
 """
 
@@ -32,6 +33,8 @@ from tabulon.llm._store import drop, map_arrow, saved
 from tabulon.llm.components import connected_components
 
 BITMAP_LONGS = 16
+#: How many members of a group are held against all others before the rest are.
+HUBS = 8
 #: Candidate ids up to so many are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 400_000
 #: Rounding slack of comparisons with a bound computed in floating point.
@@ -192,19 +195,33 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
     prefix = ranked.withColumn("pos", pos).filter(F.col("pos") <= F.floor((1 - threshold) * F.col("n") + SLACK))
     prefix = saved(prefix.select("token", "node", "n", "pos", *bitmap), "op5-prefixes")
 
-    hub = prefix.groupBy("token").agg(F.min(F.struct("pos", "node", "n", *bitmap)).alias("h"), F.count("*").alias("g")).filter("g > 1").select("token", "h.*")
-    hub = saved(hub, "op5-hubs")
-    star = prefix.alias("y").join(hub.alias("x"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _may_link(threshold, "x", "y"))
-    star = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = _verified(star, docs, nodes, n, fragments, seed, threshold)
-
-    comps = saved(connected_components(links, "a", "b"), "op5-components")
-    rest = prefix.join(hub.select("token"), "token", "left_semi").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    mixed = rest.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("token")
-    rest = saved(rest.join(mixed, "token", "left_semi"), "op5-rest")
-    cross = rest.alias("x").join(rest.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(threshold, "x", "y"))
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(cross, docs, nodes, n, fragments, seed, threshold)
+    def held_against(hubs: DataFrame, rows: DataFrame, before: DataFrame | None) -> DataFrame:
+        """Pairs of a hub and another member of the same n-gram's group that may link, in different components."""
+        apart = F.col("x.node") != F.col("y.node") if hubs is not rows else F.col("x.node") < F.col("y.node")
+        if before is not None:
+            apart = apart & (F.col("x.comp") != F.col("y.comp"))
+        pairs = rows.alias("y").join(hubs.alias("x"), (F.col("x.token") == F.col("y.token")) & apart & _may_link(threshold, "x", "y"))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    def unsettled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """The prefixes with their components, of those n-grams whose group has several."""
+        comps = saved(connected_components(links, "a", "b"), "op5-components")
+        own = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        mixed = own.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("token")
+        return saved(own.join(mixed, "token", "left_semi"), "op5-unsettled")
+
+    first = F.row_number().over(Window.partitionBy("token").orderBy("node"))
+    hubs = saved(prefix.withColumn("_k", first).filter(F.col("_k") <= HUBS).drop("_k"), "op5-hubs")
+    links = _verified(held_against(hubs, prefix, None), docs, nodes, n, fragments, seed, threshold)
+
+    rest = unsettled(prefix, links)
+    ends = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    most = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), "node"))
+    hubs = saved(rest.join(ends, "node").withColumn("_k", most).filter(F.col("_k") <= HUBS).drop("_k", "degree"), "op5-hubs")
+    links = saved(links.unionByName(_verified(held_against(hubs, rest, links), docs, nodes, n, fragments, seed, threshold)), "op5-links")
+
+    rest = unsettled(rest.drop("comp"), links)
+    more = _verified(held_against(rest, rest, links), docs, nodes, n, fragments, seed, threshold)
     comps = connected_components(links.unionByName(more), "a", "b")
 
     named = saved(nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "op5-members")
