@@ -50,17 +50,16 @@ def _described(docs: DataFrame) -> DataFrame:
     return out.withColumns({"_source": value["source"], "_lang": value["lang"], "_topic": topic})
 
 
-def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataFrame:
-    """(_dim, _want): the share of each value; they add up to 1 over the values that there are."""
+def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None, total: float) -> DataFrame:
+    """(_dim, _want): what each value is to have, up to a factor that all share."""
     column = f"_{dim}"
     sums = cells.groupBy(column).agg(F.sum("tokens").alias("_t"))
     if given is None:
-        raw = F.pow(F.col("_t") / F.sum("_t").over(Window.partitionBy()), F.lit(POWERS[dim]))
+        want = F.pow(F.col("_t") / F.lit(total), F.lit(POWERS[dim]))
     else:
         pairs = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else None
-        raw = F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(0.0)) if given else F.lit(0.0)
-    out = sums.filter("_t > 0").withColumn("_r", raw)
-    return out.select(column, F.try_divide("_r", F.sum("_r").over(Window.partitionBy())).alias(f"_want_{dim}"))
+        want = F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(0.0)) if given else F.lit(0.0)
+    return sums.select(column, want.cast("double").alias(f"_want_{dim}"))
 
 
 def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -68,9 +67,10 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, ro
     targets = targets or {}
     d = _described(docs)
     cells = saved(d.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0"), "op7-cells")
-    cur = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
+    cur = cells.withColumn("weight", F.col("tokens") / F.lit(total))
     for dim in POWERS:
-        cur = cur.join(_targets(cells, dim, targets.get(dim)), f"_{dim}")
+        cur = cur.join(_targets(cells, dim, targets.get(dim), total), f"_{dim}")
     done = 0
     while done < rounds:
         for _ in range(min(ROUNDS_PER_PLAN, rounds - done)):
@@ -80,10 +80,9 @@ def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, ro
             done += 1
         cur = saved(cur, "op7-raked")
     per_token = F.col("weight") / F.col("tokens")
-    return saved(
-        cur.select("_source", "_lang", "_topic", "tokens", "docs", "weight", per_token.alias("_per")).withColumn("probability", F.coalesce(F.try_divide("_per", F.max("_per").over(Window.partitionBy())), F.lit(0.0))).drop("_per"),
-        "op7-probabilities",
-    )
+    weight, most = cur.agg(F.sum("weight"), F.max(per_token)).first()
+    share = F.col("weight") / F.lit(weight) if weight else F.lit(0.0)
+    return cur.select("_source", "_lang", "_topic", "tokens", "docs", share.alias("weight"), (per_token / F.lit(most) if most else F.lit(0.0)).alias("probability"))
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -106,8 +105,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rou
     ``targets`` gives shares of tokens by value for any of source, lang and topic; values not
     named get none; a marginal not given gets its shares to the power in ``POWERS``. Nulls are a
     value of their own, returned as ''. Without a column ``topic`` the length class stands in for
-    it. Texts without words have no weight and aren't sampled. Rows that repeat a doc_id share its
-    draw. Other columns aren't read; an empty table gives an empty result.
+    it. Texts without words add no weight and share the probability of their cell; a cell
+    without words isn't sampled. Rows that repeat a doc_id share its draw. Other columns aren't read; an empty table gives an empty result.
     """
     got = _with_probability(docs.select([c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]), targets, rounds, seed)
     return got.select(

@@ -38,7 +38,8 @@ def test_given_targets(spark, docs_of):
 def test_mix_odd_tables(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
     rows = mixing.mix(docs_of([(1, None), (2, "a"), (2, "a"), (None, "b")], lang=None, source=None)).collect()
-    assert len(rows) == 4 and {r.lang for r in rows} == {""} and [r.sampled for r in rows if r.doc_id == 1] == [False]
+    assert len(rows) == 4 and {r.lang for r in rows} == {""} and [r.probability for r in rows if r.doc_id == 1] == [1]
+    assert [r.sampled for r in mixing.mix(docs_of([(1, None), (2, " ")])).collect()] == [False, False]
     own = mixing.mix(docs_of([(1, "a"), (2, "b")]).withColumnRenamed("n_chars", "topic")).collect()
     assert {r.topic for r in own} == {"1"}
 
