@@ -35,6 +35,8 @@ FILTERS = 8
 EPOCHS = 8
 #: Rows of a language in the calibration fold below which the common threshold holds.
 MIN_LANG_ROWS = 40
+#: A language's threshold leaves one half only for fewer errors than this share of its rows.
+SPARE = 0.02
 HELD_OUT = 5
 
 
@@ -182,12 +184,14 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def _best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the cuts with the fewest errors."""
+def _best_threshold(score: np.ndarray, y: np.ndarray, spare: float = 0.0) -> float:
+    """Of the cuts with the fewest errors, or up to that share of the rows more, the one nearest to one half."""
     cuts = np.unique(np.concatenate(([0.0], score, [1.0])))
     mids = (cuts[1:] + cuts[:-1]) / 2
     errors = np.array([((score >= c) != y).sum() for c in mids])
-    good = mids[errors == errors.min()]
+    good = mids[errors <= errors.min() + spare * len(y)]
+    if good.min() <= 0.5 <= good.max() and ((score >= 0.5) != y).sum() <= errors.min() + spare * len(y):
+        return 0.5
     return float(good[np.argmin(abs(good - 0.5))])
 
 
@@ -225,7 +229,7 @@ def train(texts: list[str], y: np.ndarray, langs: list[str | None], seed: int =
     for lang in np.unique(own):
         mine = own == lang
         if lang and mine.sum() >= MIN_LANG_ROWS and 0 < y[rows][mine].sum() < mine.sum():
-            model.thresholds[str(lang)] = _best_threshold(score[mine], y[rows][mine])
+            model.thresholds[str(lang)] = _best_threshold(score[mine], y[rows][mine], SPARE)
     return model
 
 
