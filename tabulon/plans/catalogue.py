@@ -496,6 +496,60 @@ def q48_token_count(spark, d):
     return docs.select("doc_id", text.token_count(text.padded_tokens(F.col("text"))).cast("long").alias("n_tokens"))
 
 
+# Logs
+
+_LOG = f"SELECT event_id + 1 AS seq, 'event' AS entity_type, CAST(user_id AS VARCHAR) AS sync_key, {_OPS} AS operation, props AS payload, epoch_ms(ts) AS created_at FROM events"
+
+
+def _log(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"),
+        F.lit("event").alias("entity_type"),
+        F.col("user_id").cast("string").alias("sync_key"),
+        F.expr(_OPS).alias("operation"),
+        F.col("props").alias("payload"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("created_at"),
+    )
+
+
+@registered(f"SELECT seq, sync_key, operation FROM ({_LOG}) WHERE seq > 500 ORDER BY seq LIMIT 100")
+def q49_changes_after(spark, d):
+    return cdc.changes(_log(spark, d), 500, 100).select("seq", "sync_key", "operation")
+
+
+@registered("SELECT max(event_id) + 1 AS last_seq, count(*) FILTER (event_id + 1 > 500) AS pending FROM events")
+def q50_log_status(spark, d):
+    return cdc.log_status(_log(spark, d), 500)
+
+
+@registered("SELECT count(*) FILTER (event_id + 1 <= 700) AS completed, count(*) AS total FROM events")
+def q51_progress(spark, d):
+    return sync.progress(_log(spark, d), 700)
+
+
+@registered(
+    f"""WITH w AS (SELECT *, lag(created_at) OVER (ORDER BY seq) AS before FROM (SELECT * FROM ({_LOG}) WHERE seq > 500 ORDER BY seq LIMIT 200)),
+    g AS (SELECT *, max((coalesce(created_at < before, false))::INT) OVER (ORDER BY seq) AS stop FROM w)
+    SELECT sync_key, arg_max(operation, seq) AS operation, max(seq) AS seq, count(*) AS covered FROM g WHERE stop = 0 GROUP BY sync_key"""
+)
+def q52_upload_batch(spark, d):
+    return sync.upload_batch(_log(spark, d), 500).select("sync_key", "operation", "seq", F.size("covered").cast("long").alias("covered"))
+
+
+@registered("SELECT DISTINCT s.s_suppkey, p.p_brand FROM supplier s JOIN lineitem l ON s.s_suppkey = l.l_suppkey JOIN part p ON p.p_partkey = l.l_partkey WHERE s.s_nationkey = 3")
+def q53_relation_by_link_table(spark, d):
+    suppliers = table(spark, d, "supplier").where("s_nationkey", equals=3).select("s_suppkey").dataframe()
+    links = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().dataframe()
+    parts = table(spark, d, "part").select("p_partkey", "p_brand").dataframe()
+    return links.join(suppliers, links.l_suppkey == suppliers.s_suppkey).join(parts, links.l_partkey == parts.p_partkey).select("s_suppkey", "p_brand").distinct()
+
+
+@registered()
+def q54_fts_porter(spark, d):
+    return table(spark, d, "documents").search("things", "documents_stem").select("doc_id").dataframe()
+
+
 def queries() -> dict[str, Maker]:
     return dict(_queries)
 
