@@ -29,8 +29,9 @@ def accent_table() -> tuple[str, str]:
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(c), *accent_table()), r"\p{M}+", "")
+    """Lower case without diacritics. Texts of ASCII alone take the short way."""
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, *accent_table()), r"\p{M}+", "")).otherwise(low)
 
 
 def fold_text(s: str) -> str:

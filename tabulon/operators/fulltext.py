@@ -160,20 +160,33 @@ class _Without(_Both):
         return self.a.phrases()
 
 
-def _padded(df: DataFrame, entity: Entity, index: str | None) -> tuple[DataFrame, _Columns]:
-    """``df`` with the token strings of the index's columns, computed once a row."""
+def _strings(entity: Entity, index: str | None) -> tuple[dict[str, Column], str]:
+    """The token string of each of the index's columns, and its tokenizer."""
     i = entity.index(index)
     made = {}
     for c in i.columns:
-        name, source = f"_tok_{entity.column(c)}", F.col(f"`{entity.column(c)}`")
-        made[name] = F.lower(F.coalesce(source, F.lit(""))) if i.tokenizer == "trigram" else X.padded_tokens(source, i.tokenizer)
-    return df.withColumns(made), _Columns({c: F.col(f"_tok_{entity.column(c)}") for c in i.columns}, i.tokenizer)
+        source = F.col(f"`{entity.column(c)}`")
+        made[c] = F.lower(F.coalesce(source, F.lit(""))) if i.tokenizer == "trigram" else X.padded_tokens(source, i.tokenizer)
+    return made, i.tokenizer
+
+
+def _padded(df: DataFrame, entity: Entity, index: str | None) -> tuple[DataFrame, _Columns]:
+    """``df`` with the token strings as columns."""
+    made, tokenizer = _strings(entity, index)
+    names = {c: f"_tok{k}" for k, c in enumerate(made)}
+    return df.withColumns({names[c]: v for c, v in made.items()}), _Columns({c: F.col(n) for c, n in names.items()}, tokenizer)
 
 
 def matching(df: DataFrame, entity: Entity, match: Match, index: str | None = None) -> DataFrame:
-    """The rows that match; null texts have no tokens."""
-    rows, at = _padded(df, entity, index)
-    return rows.filter(match.column(at)).select(*[f"`{c}`" for c in df.columns])
+    """The rows that match; null texts have no tokens.
+
+    The token strings go into an array of one struct, so that a filter with several terms computes
+    them once a row.
+    """
+    made, tokenizer = _strings(entity, index)
+    names = {c: f"t{k}" for k, c in enumerate(made)}
+    row = F.array(F.struct(*[v.alias(names[c]) for c, v in made.items()]))
+    return df.filter(F.exists(row, lambda s: match.column(_Columns({c: s[n] for c, n in names.items()}, tokenizer))))
 
 
 def with_rank(rows: DataFrame, corpus: DataFrame, entity: Entity, match: Match, index: str | None = None, weights: tuple[float, ...] = (), name: str = "rank") -> DataFrame:
