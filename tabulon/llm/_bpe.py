@@ -3,8 +3,9 @@
 The tokenizer's pre-tokeniser never joins what stands before a space to a space that something
 other than white space follows, and takes a line feed between two such characters alone. So a
 text is cut there and each distinct piece is encoded once if it is in a bounded cache. The ids
-are those of encoding the whole text. A key of the cache is a piece without its leading space; a
-piece that has none has ``\\0`` and a space before it.
+are those of encoding the whole text. Commas and full stops after a letter or digit are pieces of
+their own, as they are for the pre-tokeniser. A key of the cache is a piece without its leading
+space; a piece that has none has ``\\0`` and a space before it, those commas and full stops ``\\0``.
 """
 
 from __future__ import annotations
@@ -15,9 +16,24 @@ from itertools import islice
 
 import numpy as np
 
-_ODD = re.compile(r" (?:\s|\Z)|\n\s|\s\n")
-_LINE_FEED = "\0 \n"
 _CUT = re.compile(r"(?= \S)")
+#: A comma or full stop before white space that follows something other than a letter or digit.
+_RUN = re.compile(r"[,.](?<![^\W_][,.])[ \n]")
+_LINE_FEED = "\0 \n"
+
+
+def _raw(key: str) -> str:
+    return " " + key if key[:1] != "\0" else key[2:] if key[1:2] == " " else key[1:]
+
+
+class _Numbers(dict):
+    """Numbers for keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 #: Distinct pieces that a worker remembers, and characters encoded at a time.
 CACHE = 800_000
 PART = 1 << 21
@@ -39,7 +55,7 @@ class CachedEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = _Numbers()
         self.start = np.zeros(1024, dtype=np.int64)
         self.size = np.zeros(1024, dtype=np.int64)
         self.pool = np.zeros(4096, dtype=np.uint32)
@@ -52,30 +68,33 @@ class CachedEncoder:
     def _ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these keys in one array, and how many each has. Those without white space
         are encoded as one text, with line feeds between, which are one id each."""
-        plain, rest = [], []
-        for k in keys:
-            (rest if k[:1] == "\0" or k.split() != [k] else plain).append(k)
-        keys[:] = plain + rest
-        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([k[2:] if k[:2] == "\0 " else " " + k for k in rest], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in got], dtype=np.int64)
-        if plain:
-            joined = self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids
-            joined = np.fromiter(joined, np.uint32, len(joined))
-            cut = np.flatnonzero(joined == self.line_feed)
-            got.insert(0, np.delete(joined, cut))
-            sizes = np.concatenate((np.diff(np.concatenate(([-1], cut, [len(joined)]))) - 1, sizes))
-        return np.concatenate(got) if got else np.zeros(0, np.uint32), sizes
+        alone = np.array([k[:1] == "\0" or k.split() != [k] for k in keys], dtype=bool)
+        plain, rest = [k for k, x in zip(keys, alone, strict=True) if not x], [k for k, x in zip(keys, alone, strict=True) if x]
+        got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([_raw(k) for k in rest], add_special_tokens=False)]
+        sizes = np.zeros(len(keys), dtype=np.int64)
+        sizes[alone] = [len(x) for x in got]
+        if not plain:
+            return np.concatenate(got) if got else np.zeros(0, np.uint32), sizes
+        joined = self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids
+        joined = np.fromiter(joined, np.uint32, len(joined))
+        cut = np.flatnonzero(joined == self.line_feed)
+        sizes[~alone] = np.diff(np.concatenate(([-1], cut, [len(joined)]))) - 1
+        out = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        of_rest = np.repeat(alone, sizes)
+        out[of_rest] = np.concatenate(got) if got else 0
+        out[~of_rest] = np.delete(joined, cut)
+        return out, sizes
 
     def _learn(self, keys: list[str]) -> None:
+        """Encode the keys that were numbered last."""
         ids, sizes = self._ids(keys)
-        n = len(self.at)
+        n = len(self.at) - len(keys)
         self.start, self.size = self._room(self.start, n + len(keys)), self._room(self.size, n + len(keys))
         self.pool = self._room(self.pool, self.used + len(ids))
         self.start[n : n + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(keys)] = sizes
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _forget(self, n: int, used: int) -> None:
         """Drop what came after the first ``n`` keys."""
@@ -91,9 +110,12 @@ class CachedEncoder:
             if not t:
                 counts.append(0)
                 continue
-            if _ODD.search(t):
+            # Other white space than single spaces and line feeds between other characters?
+            if "\0" in t or t.split() != t.replace("\n", " ").split(" "):
                 own = ["\0 " + x for x in _CUT.split(t) if x]
             else:
+                if not _RUN.search(t):
+                    t = t.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n")
                 own = []
                 for line in t.split("\n"):
                     start = len(own)
@@ -103,20 +125,19 @@ class CachedEncoder:
                 own.pop()
             counts.append(len(own))
             parts += own
-        new = set(parts).difference(self.at)
-        full = len(self.at) >= self.cache
-        if full and 4 * len(new) > len(set(parts)):  # the texts have changed: start anew
-            self._clear()
-            new, full = set(parts), False
         known, used = len(self.at), self.used
-        if new:
-            self._learn(list(new))
         where = np.fromiter(map(self.at.__getitem__, parts), np.int64, len(parts))
+        if len(self.at) > known:
+            self._learn(list(islice(reversed(self.at), len(self.at) - known))[::-1])
+        new = len(self.at) - known
         sizes = self.size[where]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.start[where] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))]
-        if full:
-            self._forget(known, used)
+        if known >= self.cache:
+            if 8 * new > len(parts):  # the texts have changed: start anew
+                self._clear()
+            else:
+                self._forget(known, used)
         at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
         return ids, np.diff(at)
 

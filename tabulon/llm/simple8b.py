@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.llm import _bpe
-from tabulon.llm._store import map_arrow
+from tabulon.llm._store import map_arrow, saved
 
 #: Selector: (ids in a word, bits of each). Selectors not listed aren't used.
 LAYOUTS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
@@ -35,8 +35,8 @@ LAYOUTS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6
 ESCAPED_BELOW = 20
 MOST_ESCAPES = 1
 #: Selectors tried when packing; 14 holds anything.
-PACKED_WITH = (12, 11, 10, 9, 8, 7)
-BLOCK = 1024
+PACKED_WITH = (12, 11, 10, 9, 7)
+BLOCK = 256
 FRAME_IDS = 1 << 20
 FRAMES_PER_FILE = 32
 MAGIC = b"S8B1"
@@ -53,36 +53,36 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     if not n:
         zero = np.zeros(1, np.uint32)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), zero, zero
-    ids = ids.astype(np.uint64)
-    wide = {}  # how many of the ids before are too wide for a layout
-    for sel in PACKED_WITH:
-        wide[sel] = np.zeros(n + 1, dtype=np.int32)
-        np.cumsum(ids >= np.uint64(_limit(LAYOUTS[sel][1])), out=wide[sel][1:])
+    ids = ids.astype(np.uint32, copy=False)
+    tried = np.array((14, *PACKED_WITH), dtype=np.uint8)
+    wide = np.zeros((len(tried), n + 1), dtype=np.int32)  # how many of the ids before are too wide for a layout
+    for k, sel in enumerate(PACKED_WITH, 1):
+        np.cumsum(ids >= np.uint32(_limit(LAYOUTS[sel][1])), out=wide[k, 1:])
+    count = np.array([LAYOUTS[int(s)][0] for s in tried])[:, None]
+    spare = np.array([MOST_ESCAPES if LAYOUTS[int(s)][1] < ESCAPED_BELOW else 0 for s in tried])[:, None]
+    row = np.arange(len(tried))[:, None] * (n + 1)
+    flat = wide.ravel()
     n_blocks = -(-n // BLOCK)
     here, stop = np.arange(n_blocks) * BLOCK, np.minimum((np.arange(n_blocks) + 1) * BLOCK, n)
     chosen, size = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.int64)
     while len(here):  # every block takes its next word at once
-        left = stop - here
-        best, took, gain = np.full(len(here), 14, np.uint8), np.ones(len(here), np.int64), np.full(len(here), 1 / 8)
-        for sel in PACKED_WITH:
-            count, bits = LAYOUTS[sel]
-            held = np.minimum(count, left)
-            bad = wide[sel][here + held] - wide[sel][here]
-            worth = np.where(bad <= (MOST_ESCAPES if bits < ESCAPED_BELOW else 0), held / (8 + 4.0 * bad), 0)
-            better = worth > gain
-            best[better], took[better], gain[better] = sel, held[better], worth[better]
-        chosen[here], size[here] = best, took
+        held = np.minimum(count, stop - here)
+        bad = flat[row + (here + held)] - flat[row + here]
+        worth = np.where(bad <= spare, held / (8 + 4 * bad), 0)  # ids by byte
+        best = worth.argmax(axis=0)
+        took = held[best, np.arange(len(here))]
+        chosen[here], size[here] = tried[best], took
         here = here + took
         going = here < stop
         here, stop = here[going], stop[going]
     first = np.flatnonzero(chosen)
     sels, sizes = chosen[first], size[first]
     width = np.array([0, *(LAYOUTS[s][1] for s in range(1, 15))], dtype=np.uint8)[sels]
-    w = np.repeat(width, sizes).astype(np.uint64)
+    w = np.repeat(width.astype(np.uint64), sizes)
     slot = (np.arange(n) - np.repeat(first, sizes)).astype(np.uint64)
     top = (np.uint64(1) << w) - np.uint64(1)
     escape = ids >= top + (w >= ESCAPED_BELOW)
-    words = np.bitwise_or.reduceat(np.where(escape, top, ids) << (np.uint64(4) + slot * w), first) | sels
+    words = np.bitwise_or.reduceat(np.where(escape, top, ids).astype(np.uint64, copy=False) << (np.uint64(4) + slot * w), first) | sels
     starts = np.arange(n_blocks) * BLOCK
     word_at = np.append(np.searchsorted(first, starts), len(first)).astype(np.uint32)
     esc_total = np.concatenate(([0], np.cumsum(escape)))
@@ -221,7 +221,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before it in the order of files and frames.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = map_arrow(files, _decode, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = saved(map_arrow(files, _decode, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "op10-read")
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     before = F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("before"))
