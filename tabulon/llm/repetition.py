@@ -49,8 +49,9 @@ def repeated_windows(w: _words.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     first = order[np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(h)), 0))]
     later = np.concatenate(([False], same))
     starts, firsts = order[later], first[later]
-    grid = np.arange(n)
-    equal = (w.hashes[starts[:, None] + grid] == w.hashes[firsts[:, None] + grid]).all(axis=1)
+    equal = np.ones(len(starts), dtype=bool)
+    for k in range(n):
+        equal &= w.hashes[starts + k] == w.hashes[firsts + k]
     starts, firsts = starts[equal], firsts[equal]
     return starts, np.union1d(starts, firsts)
 
@@ -104,7 +105,7 @@ _SHARES = ["dup_line_char_frac", "dup_line_frac", *(f"dup_{n}gram_char_frac" for
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _words.parts(whole)):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         rows = [measure(t or b"", w) for t, w in zip(texts, _words.words(texts), strict=True)]
         kept = [verdict(m) for m in rows]
