@@ -63,3 +63,11 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and files that operators of this application have written here.
+
+    Results that are still to be read need them, so call it when the work is done.
+    """
+    drop_path(spark, f"{shared_dir(spark)}/tabulon/{spark.sparkContext.applicationId}")
