@@ -5,7 +5,7 @@ other than white space follows, and takes a line feed between two such character
 text is cut there and each distinct piece is encoded once if it is in a bounded cache. The ids
 are those of encoding the whole text. Commas and full stops after a letter or digit are pieces of
 their own, as they are for the pre-tokeniser. A key of the cache is a piece without its leading
-space; a piece that has none has ``\\0`` and a space before it, those commas and full stops ``\\0``.
+space; a piece that has none has ``\\0`` before it.
 """
 
 from __future__ import annotations
@@ -19,11 +19,20 @@ import numpy as np
 _CUT = re.compile(r"(?= \S)")
 #: A comma or full stop before white space that follows something other than a letter or digit.
 _RUN = re.compile(r"[,.](?<![^\W_][,.])[ \n]")
-_LINE_FEED = "\0 \n"
+#: White space other than spaces and line feeds.
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+_OTHER_ASCII_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def _raw(key: str) -> str:
-    return " " + key if key[:1] != "\0" else key[2:] if key[1:2] == " " else key[1:]
+    return key[1:] if key[:1] == "\0" else " " + key
+
+
+def _regular(t: str) -> bool:
+    """Whether all white space is single spaces and line feeds between other characters."""
+    if "  " in t or " \n" in t or "\n " in t or "\n\n" in t or t[0] in " \n" or t[-1] in " \n":
+        return False
+    return not any(c in t for c in _OTHER_ASCII_SPACE) if t.isascii() else not _OTHER_SPACE.search(t)
 
 
 class _Numbers(dict):
@@ -35,7 +44,7 @@ class _Numbers(dict):
 
 
 #: Distinct pieces that a worker remembers, and characters encoded at a time.
-CACHE = 800_000
+CACHE = 1_200_000
 PART = 1 << 21
 
 
@@ -110,19 +119,13 @@ class CachedEncoder:
             if not t:
                 counts.append(0)
                 continue
-            # Other white space than single spaces and line feeds between other characters?
-            if "\0" in t or t.split() != t.replace("\n", " ").split(" "):
-                own = ["\0 " + x for x in _CUT.split(t) if x]
+            if "\0" in t or not _regular(t):
+                own = ["\0" + x for x in _CUT.split(t) if x]
             else:
                 if not _RUN.search(t):
                     t = t.replace(", ", " \0, ").replace(". ", " \0. ").replace(".\n", " \0.\n")
-                own = []
-                for line in t.split("\n"):
-                    start = len(own)
-                    own += line.split(" ")
-                    own[start] = "\0 " + own[start]
-                    own.append(_LINE_FEED)
-                own.pop()
+                own = t.replace("\n", " \0\n \0").split(" ")
+                own[0] = "\0" + own[0]
             counts.append(len(own))
             parts += own
         known, used = len(self.at), self.used

@@ -15,8 +15,11 @@ where they end, and longest first.
 from __future__ import annotations
 
 import heapq
+import re
 from typing import NamedTuple
 
+import numpy as np
+
 #: Fixed values of the model: the space mark and the penalty of unknown characters.
 SPACE_MARK = "\u2581"
 UNKNOWN_PENALTY = 10.0
@@ -50,22 +53,27 @@ class Lattice:
             if p and not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.automaton.add_word(p, (len(p), self.scores[i], i))
         self.automaton.make_automaton()
-        self.as_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
+        as_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
+        self.piece_size = np.array([len(x) for x in as_bytes], dtype=np.int64)
+        self.piece_start = np.cumsum(self.piece_size) - self.piece_size
+        self.piece_bytes = np.frombuffer(b"".join(as_bytes), dtype=np.uint8)
         # Sums of whole numbers don't depend on where they begin; only then may a word be cut.
         whole = all(x.is_integer() for x in self.scores)
         self.pairs = {a + b for p in self.pieces for a, b in zip(p, p[1:])} if whole else None
+        self.line_feed_alone = not any("\n" in p and len(p) > 1 for p in self.pieces)
+        self._line_feeds = re.compile("(\n)")
 
     def cut(self, word: str) -> list[str]:
-        """A word with its space mark, cut between characters that stand together in no piece."""
-        text = SPACE_MARK + word
+        """A word with its space mark, cut where two characters stand that are together in no piece:
+        around line feeds, and before a last character such as a comma."""
+        text, out = SPACE_MARK + word, []
         if self.pairs is None:
             return [text]
-        pairs, at, out = self.pairs, 0, []
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out.append(text[at:i])
-                at = i
-        out.append(text[at:])
+        for part in self._line_feeds.split(text) if self.line_feed_alone and "\n" in text else (text,):
+            if len(part) > 1 and part[-2:] not in self.pairs:
+                out += (part[:-1], part[-1])
+            elif part:
+                out.append(part)
         return out
 
     @staticmethod
@@ -173,9 +181,13 @@ class Lattice:
                 heapq.heappush(heap, (-(forward[start] + x + done), (*ranks, k), start, x + done, own + ids))
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids: byte pieces joined to characters, space marks as spaces but the first."""
-        text = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE_MARK, " ")
+        ids = np.asarray(ids, dtype=np.int64)
+        sizes = self.piece_size[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.piece_start[ids] - (ends - sizes), sizes) + np.arange(int(sizes.sum()))
+        text = self.piece_bytes[at].tobytes().decode("utf-8", "replace").replace(SPACE_MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 

@@ -7,10 +7,13 @@ and read it back, so that a lost executor costs a re-read and not a recomputatio
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.shipping import ship
@@ -59,10 +62,31 @@ def drop(df: DataFrame) -> None:
             drop_path(df.sparkSession, p)
 
 
+#: Bytes of an Arrow batch where the session doesn't say: what a Python worker holds at once.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+class _Released:
+    """A function over batches after which a worker gives freed memory back to the system."""
+
+    def __init__(self, run):
+        self.run = run
+
+    def __call__(self, batches):
+        yield from self.run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    """``df.mapInArrow`` with this package at hand in the workers, in batches of bounded size."""
+    spark = df.sparkSession
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(_Released(run).__call__, schema)
 
 
 def clear(spark: SparkSession) -> None:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 
@@ -152,3 +154,14 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     if not len(hashes):
         return hashes
     return np.unique(rolling(hashes, min(n, len(hashes))))
+
+
+def parts(batch: pa.RecordBatch, size: int = 4 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with texts of about ``size`` bytes together, to bound what is held at once."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0), dtype=np.int64))
+    lo = 0
+    while lo < len(ends):
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi

@@ -46,7 +46,7 @@ def _first_fragment(tokens: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in _words.parts(whole)):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         yield batch, [_words.shingles(w.hashes, n) for w in _words.words(texts, lower=True, seed=seed)]
 
@@ -203,9 +203,8 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
         pairs = rows.alias("y").join(hubs.alias("x"), (F.col("x.token") == F.col("y.token")) & apart & _may_link(threshold, "x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
-    def unsettled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    def unsettled(rows: DataFrame, comps: DataFrame) -> DataFrame:
         """The prefixes with their components, of those n-grams whose group has several."""
-        comps = saved(connected_components(links, "a", "b"), "op5-components")
         own = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         mixed = own.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("token")
         return saved(own.join(mixed, "token", "left_semi"), "op5-unsettled")
@@ -214,15 +213,19 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
     hubs = saved(prefix.withColumn("_k", first).filter(F.col("_k") <= HUBS).drop("_k"), "op5-hubs")
     links = _verified(held_against(hubs, prefix, None), docs, nodes, n, fragments, seed, threshold)
 
-    rest = unsettled(prefix, links)
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
+    # Whoever has the same least neighbour is connected; that is enough to begin with.
+    near = links.unionAll(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component"), F.count("*").alias("degree"))
+    near = saved(near, "op5-neighbours")
+    rest = unsettled(prefix, near.drop("degree"))
     most = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), "node"))
-    hubs = saved(rest.join(ends, "node").withColumn("_k", most).filter(F.col("_k") <= HUBS).drop("_k", "degree"), "op5-hubs")
+    hubs = saved(rest.join(near.select("node", "degree"), "node").withColumn("_k", most).filter(F.col("_k") <= HUBS).drop("_k", "degree"), "op5-hubs")
     links = saved(links.unionByName(_verified(held_against(hubs, rest, links), docs, nodes, n, fragments, seed, threshold)), "op5-links")
 
-    rest = unsettled(rest.drop("comp"), links)
-    more = _verified(held_against(rest, rest, links), docs, nodes, n, fragments, seed, threshold)
-    comps = connected_components(links.unionByName(more), "a", "b")
+    comps = saved(connected_components(links, "a", "b"), "op5-components")
+    rest = unsettled(rest.drop("comp"), comps)
+    more = _verified(held_against(rest, rest, comps), docs, nodes, n, fragments, seed, threshold)
+    if not more.isEmpty():
+        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
 
     named = saved(nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "op5-members")
     least = saved(named.groupBy("component").agg(F.min("rep").alias("component_id")), "op5-least")
@@ -234,4 +237,6 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, fragments: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id names their component."""
     kept = jaccard_components(docs, n, threshold, fragments).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    kept = saved(kept, "op5-kept")
+    small = kept.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(kept) if small else kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
