@@ -16,6 +16,10 @@ them, those whose sets have the least hashes, on which groups with many members
 agree. What links becomes a component. Then those with the most links so far are held against
 members of other components, and at last all members of different components against each other. A bitmap of each set gives a lower bound of the
 difference, so pairs that can't link are dropped inside the join. Identical sets are one node.
+
+Links are counted, or listed, within the components, since no link leaves one. A component's sets
+are dealt into blocks by hash, and every two blocks meet in a worker, which counts what each set of
+one shares with each of the other. No set is left out and no row is made per pair but for the list.
 """
 
 from __future__ import annotations
@@ -37,6 +41,9 @@ BITMAP_LONGS = 16
 HUBS = 8
 #: Candidate ids up to so many are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 400_000
+#: Sets, and n-grams, that a block of a component has on average.
+BLOCK_SETS = 128
+BLOCK_TOKENS = 1 << 18
 #: Rounding slack of comparisons with a bound computed in floating point.
 SLACK = 1e-9
 
@@ -158,23 +165,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, fragm
     return links
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    Texts are taken whole, A-Z lower-cased; a text of fewer than ``n`` words is one shingle; one
-    without words, or a null, has none, links with nothing and is its own component. Sets link
-    when their Jaccard similarity is at least ``threshold`` (given to four decimals). The
-    component is the smallest doc_id reachable by links. Rows that repeat a doc_id are one node
-    if their sets are equal, else each has its own row and component. A row whose doc_id is null
-    has a component through an equal set only, else null. Other columns aren't read; an empty
-    table gives an empty result.
-    """
+def _components(docs: DataFrame, n: int, threshold: float, fragments: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Rows with their node, nodes, (node, component, component_id) and the seed of the hashes."""
     docs = docs.select("doc_id", "text")
     bitmap = [f"m{k}" for k in range(BITMAP_LONGS)]
     schema = "doc_id {}, n long, n0 long, fp long, fp2 long, {}".format(dict(docs.dtypes)["doc_id"], ", ".join(f"{m} long" for m in bitmap))
     for seed in range(8):
         sets = saved(map_arrow(docs, _describe(n, fragments, seed), schema), "op5-sets")
-        grouped = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("_lo"), F.max("fp2").alias("_hi"), F.first("n").alias("n"), F.first("n0").alias("n0"), *(F.first(m).alias(m) for m in bitmap))
+        grouped = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("_lo"), F.max("fp2").alias("_hi"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("n0").alias("n0"), *(F.first(m).alias(m) for m in bitmap))
         nodes = saved(grouped.withColumnRenamed("fp", "node"), "op5-nodes")
         # Sets of at most `fragments * slack` n-grams may have too few in the first fragment.
         unsafe = F.col("n0") <= F.floor((1 - threshold) * F.col("n") + SLACK)
@@ -188,7 +186,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
     shared = saved(counts.filter("_l < _h").select("token", "df"), "op5-shared")
     counted = posts.join(shared, "token").distinct()
     space = (F.col("token").bitwiseAND(F.lit(1))).alias("whole")
-    ranked = counted.select("token", "node", "df", space).join(nodes.drop("rep", "_lo", "_hi"), "node")
+    ranked = counted.select("token", "node", "df", space).join(nodes.drop("rep", "_lo", "_hi", "copies"), "node")
     order = Window.partitionBy("node", "whole")
     size = F.when(F.col("whole") == 1, F.col("n")).otherwise(F.col("n0"))
     pos = size - F.count("*").over(order) + F.row_number().over(order.orderBy("df", "token")) - 1
@@ -229,11 +227,127 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
 
     named = saved(nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "op5-members")
     least = saved(named.groupBy("component").agg(F.min("rep").alias("component_id")), "op5-least")
-    of_node = saved(named.join(least, "component").select("node", "component_id"), "op5-named")
+    return sets, nodes, saved(named.join(least, "component").select("node", "component", "component_id"), "op5-named"), seed
+
+
+def _blocks_met(t: float, pairs: bool):
+    """What links among the rows (component, i, j, side, node, copies, tokens), sorted by the first three:
+    (node, links), or with ``pairs`` (a, b, common). Rows of side 0 meet those of side 1, or where i = j each other."""
+    t100 = round(t * 10_000)
+
+    def met(rows: dict[int, tuple[int, int, np.ndarray]], alone: bool) -> pa.RecordBatch | None:
+        members = sorted(rows.items(), key=lambda x: x[1][0])
+        names = np.array([k for k, _ in members], dtype=np.int64)
+        copies = np.array([r[1] for _, r in members], dtype=np.int64)
+        size = np.array([len(r[2]) for _, r in members], dtype=np.int64)
+        lefts = len(members) if alone else sum(r[0] == 0 for _, r in members)
+        if len(members) < 2 or not 0 < lefts or (not alone and lefts == len(members)):
+            return None
+        known, tokens = np.unique(np.concatenate([r[2] for _, r in members]), return_inverse=True)
+        ends = np.cumsum(size)
+        starts, mark = ends - size, np.zeros(len(known), dtype=bool)
+        links, out = np.zeros(len(members), dtype=np.int64), []
+        for x in range(lefts):
+            y = x + 1 if alone else lefts
+            if y == len(members):
+                break
+            own = tokens[starts[x] : ends[x]]
+            mark[own] = True
+            common = np.add.reduceat(mark[tokens[starts[y] :]], starts[y:] - starts[y], dtype=np.int64)
+            mark[own] = False
+            linked = y + np.flatnonzero(common * 10_000 >= t100 * (size[x] + size[y:] - common))
+            links[x] += copies[linked].sum()
+            links[linked] += copies[x]
+            if pairs and len(linked):
+                out.append((np.full(len(linked), names[x]), names[linked], common[linked - y]))
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "common"]) if out else None
+        some = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(links[some])], ["node", "links"]) if len(some) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j")), strict=True))
+            side, node, copies = (batch.column(c).to_pylist() for c in ("side", "node", "copies"))
+            tokens = batch.column("tokens")
+            for r, key in enumerate(keys):
+                if key != at:
+                    if rows and (got := met(rows, at[1] == at[2])) is not None:
+                        yield got
+                    at, rows = key, {}
+                if node[r] not in rows:  # a repeated row of ``docs`` gives a set twice
+                    rows[node[r]] = (side[r], copies[r], np.array(tokens[r].values))
+        if rows and (got := met(rows, at[1] == at[2])) is not None:
+            yield got
+
+    return run
+
+
+def _links(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, n: int, seed: int, t: float, pairs: bool) -> DataFrame:
+    """(node, links) or (a, b, common) of all links between distinct sets."""
+    named = of_node.join(nodes.select("node", "rep", "copies", "n"), "node").filter("rep is not null")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    several = saved(named.groupBy("component").agg(F.count("*").alias("_k"), blocks).filter("_k > 1").drop("_k"), "op5-several")
+    dealt = named.join(several, "component").select("node", "rep", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    dealt = saved(dealt, "op5-blocks")
+    wanted = dealt.select("rep").distinct()
+    small = dealt.count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"), "left_semi")
+    whole = map_arrow(texts, _segments(n, 1, seed), "node long, frag int, tokens array<long>").drop("frag")
+    each = whole.join(dealt.drop("rep"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    keys = ["component", "i", "j"]
+    each = each.select("component", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "tokens")
+    each = each.repartition(*keys).sortWithinPartitions(*keys)
+    return map_arrow(each, _blocks_met(t, pairs), "a long, b long, common long" if pairs else "node long, links long")
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    Texts are taken whole, A-Z lower-cased; a text of fewer than ``n`` words is one shingle; one
+    without words, or a null, has none, links with nothing and is its own component. Sets link
+    when their Jaccard similarity is at least ``threshold`` (given to four decimals). The
+    component is the smallest doc_id reachable by links. Rows that repeat a doc_id are one node
+    if their sets are equal, else each has its own row and component. A row whose doc_id is null
+    has a component through an equal set only, else null. Other columns aren't read; an empty
+    table gives an empty result.
+    """
+    sets, _, of_node, _ = _components(docs, n, threshold, fragments)
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_node, sets["fp"] == of_node["node"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def jaccard_links(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
+    """The rows of ``jaccard_components`` with two more columns: class_id, n_links.
+
+    The class of a row is the rows with an equal set, named by their smallest doc_id. ``n_links``
+    is the number of other rows whose sets link with the row's: those of its class, and all rows
+    of each class that links with it. Every link between different sets is counted. Rows without
+    words link with nothing and are their own class. Sets that only rows with a null doc_id have
+    link within their class alone.
+    """
+    sets, nodes, of_node, seed = _components(docs, n, threshold, fragments)
+    links = _links(docs, nodes, of_node, n, seed, threshold, False).groupBy("node").agg(F.sum("links").alias("links"))
+    of_class = of_node.drop("component").join(nodes.select("node", "rep", "copies"), "node").join(links, "node", "left")
+    of_class = saved(of_class, "op5-classes")
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, sets["fp"] == of_class["node"], "left")
+    n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), n_links.alias("n_links"))
+
+
+def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
+    """(class_a, class_b, common) of every link between different sets, class_a being the smaller name, and
+    how many shingles they share. ``jaccard_links`` tells each row's class. A family of k sets has up to
+    k * (k - 1) / 2 links."""
+    _, nodes, of_node, seed = _components(docs, n, threshold, fragments)
+    pairs = _links(docs, nodes, of_node, n, seed, threshold, True)
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("rep").alias(f"_{side}")), side)
+    return pairs.select(F.least("_a", "_b").alias("class_a"), F.greatest("_a", "_b").alias("class_b"), "common")
+
+
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, fragments: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id names their component."""
     kept = jaccard_components(docs, n, threshold, fragments).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()

@@ -50,6 +50,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"), n=3, threshold=0.9)
 
 
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(_read(spark, sf_dir, "documents"), n=3, threshold=0.9)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "op6-archives")
     warc.write_pages(_read(spark, sf_dir, "pages"), to)
@@ -139,13 +143,22 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id
 FROM s JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = s.doc_id
 """
 
+OP5_LINKS_SQL = OP5_SQL.rsplit("\nSELECT s.doc_id", 1)[0] + r""",
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+k AS (SELECT x, count(*) AS n_links FROM links GROUP BY x),
+e AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(sh)) AS class_id FROM s WHERE len(sh) > 0)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, coalesce(e.class_id, s.doc_id) AS class_id,
+       CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
+FROM s JOIN c ON c.x = s.doc_id LEFT JOIN k ON k.x = s.doc_id LEFT JOIN e ON e.doc_id = s.doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_repetition, op2_exact_dedup, op3_toxicity, op4_chat_format, op5_jaccard_join, op6_warc, op7_mixing, op8_token_counts, op9_sentencepiece, op10_token_files)
+        for f in (op1_repetition, op2_exact_dedup, op3_toxicity, op4_chat_format, op5_jaccard_join, op5_jaccard_links, op6_warc, op7_mixing, op8_token_counts, op9_sentencepiece, op10_token_files)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op6_warc": OP6_SQL, "op7_mixing": mixing.mix_sql()}
+    return {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op5_jaccard_links": OP5_LINKS_SQL, "op6_warc": OP6_SQL, "op7_mixing": mixing.mix_sql()}

@@ -117,6 +117,35 @@ def test_jaccard_one_large_family(docs_of):
     assert components(docs_of(pairs)) == brute_components(pairs, 3, 90)
 
 
+def brute_links(pairs, n, percent):
+    sets = {i: shingle_set(t, n) for i, t in pairs}
+    linked = {i: [] for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            linked[a].append(b)
+            linked[b].append(a)
+    classes = {i: min((j for j in sets if sets[j] == sets[i] and sets[i]), default=i) for i in sets}
+    distinct = {(min(x), max(x), len(sets[a] & sets[b])) for a in sets for b in linked[a] if sets[a] != sets[b] for x in [(classes[a], classes[b])]}
+    return {(i, classes[i], len(linked[i])) for i in sets}, distinct
+
+
+def test_every_link_of_a_family_is_counted(docs_of, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 7)
+    rng = random.Random(8)
+    pairs = []
+    for i in range(70):  # more near copies than HUBS, of which some are equal
+        own = [f"w{k}" for k in range(200)]
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            own[rng.randrange(200)] = f"z{rng.randrange(10**6)}"
+        pairs.append((i, " ".join(own)))
+    pairs += [(1000 + i, t) for i, t in near_copies(rng, families=4)]
+    counted, distinct = brute_links(pairs, 3, 90)
+    assert {(r.doc_id, r.class_id, r.n_links) for r in jaccard_join.jaccard_links(docs_of(pairs)).collect()} == counted
+    got = [tuple(r) for r in jaccard_join.jaccard_pairs(docs_of(pairs)).collect()]
+    assert set(got) == distinct and len(got) == len(distinct)
+
+
 def test_jaccard_odd_tables(docs_of):
     assert components(docs_of([])) == set()
     assert components(docs_of([(7, None), (8, " ")])) == {(7, 0, 7), (8, 0, 8)}
