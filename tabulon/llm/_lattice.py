@@ -14,8 +14,9 @@ where they end, and longest first.
 
 from __future__ import annotations
 
-import heapq
 import re
+from array import array
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -129,7 +130,7 @@ class Lattice:
         n, unknown, least = len(text), self.unknown_score, float("-inf")
         score, via, size_of, loss = [0.0] * (n + 1), [0] * (n + 1), [1] * (n + 1), [0.0] * (n + 1)
         at, top, second, piece, size_in, single = 1, least, least, -1, 1, False
-        for last, (size, x, i) in [*self.automaton.iter(text), (n, (0, 0.0, -1))]:
+        for last, (size, x, i) in chain(self.automaton.iter(text), ((n, (0, 0.0, -1)),)):
             while at <= last:
                 if not single:
                     total = score[at - 1] + unknown
@@ -159,26 +160,39 @@ class Lattice:
         return ids[::-1], score[n], gap
 
     def nbest(self, word: str, n: int) -> list[Path]:
-        """The n best segmentations by A* from the end, with forward Viterbi scores as the heuristic.
+        """The n best segmentations by a dynamic program over the n best ways to each position.
 
-        The heuristic is the exact score of the best way from the beginning, so paths are
-        completed in order of their scores. Of equal scores, the one with the longer last piece
-        comes first, then the one with the longer piece before, and so on.
+        Of equal scores, the one with the longer last piece comes first, then the one with the
+        longer piece before, and so on. A way is its last piece and the number of the way before
+        it, so time and memory grow with the word's length.
         """
         text = SPACE_MARK + word
-        into = self.edges(text)
-        forward = [0.0] + [None] * len(text)
-        for end in range(1, len(text) + 1):
-            forward[end] = max(forward[s] + x for s, x, _ in into[end])
-        heap: list = [(-forward[-1], (), len(text), 0.0, ())]
+        length = len(text)
+        score, ways = array("d", bytes(8 * n * (length + 1))), array("i", bytes(4 * (length + 1)))
+        piece, size_of, before = (array("i", bytes(4 * n * (length + 1))) for _ in range(3))
+        ways[0], at, edges = 1, 1, []
+        for last, (size, x, i) in chain(self.automaton.iter(text), ((length, (0, 0.0, -1)),)):
+            while at <= last:  # the edges that end here are complete, longest first
+                if not edges or edges[-1][0] != 1:
+                    edges.append((1, self.unknown_score, -1))
+                got = [(-(score[(at - e[0]) * n + j] + e[1]), k, j) for k, e in enumerate(edges) for j in range(ways[at - e[0]])]
+                got.sort()
+                ways[at] = min(n, len(got))
+                for to, (less, k, j) in enumerate(got[:n], at * n):
+                    score[to], piece[to], size_of[to], before[to] = -less, edges[k][2], edges[k][0], j
+                at, edges = at + 1, []
+            edges.append((size, x, i))
         out: list[Path] = []
-        while heap and len(out) < n:
-            _, ranks, at, done, ids = heapq.heappop(heap)
-            if not at:
-                out.append(Path(done, ids))
-                continue
-            for k, (start, x, own) in enumerate(into[at]):
-                heapq.heappush(heap, (-(forward[start] + x + done), (*ranks, k), start, x + done, own + ids))
+        for rank in range(ways[length]):
+            at, way, ids = length, rank, []
+            while at:
+                own = at * n + way
+                if piece[own] >= 0:
+                    ids.append(piece[own])
+                else:
+                    ids += self._unknown(text[at - 1])[::-1]
+                at, way = at - size_of[own], before[own]
+            out.append(Path(score[length * n + rank], tuple(ids[::-1])))
         return out
 
     def decode(self, ids: np.ndarray) -> str:

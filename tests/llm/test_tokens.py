@@ -138,6 +138,20 @@ def test_nbest_of_a_text(lat, text):
     assert [s for s, _ in seg.nbest(words, rows, 6)] == want
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "漢字" * 500_000, "item one\n".replace(" ", "") * 120_000])
+def test_a_long_text_without_spaces(lat, text):
+    seg = sp_nbest.Segmenter(lat)
+    (words, rows), = seg.encode([text])
+    best = lat.best("▁" + text)
+    scores = [s for s, _ in seg.nbest(words, rows, 4)]
+    second = [best[1] - best[2]] if np.isfinite(best[2]) else []  # a text may have one segmentation only
+    assert scores[:2] == [best[1], *second] and best[1] == seg.score[rows[0]] and scores == sorted(scores, reverse=True)
+    assert lat.decode(seg.ids(rows)) == text
+    seg.used = sp_nbest.POOL + 1  # what is remembered is bounded by ids, too
+    seg.encode(["a b"])
+    assert len(seg.at) == 2
+
+
 def test_token_tables(spark, docs_of, lat):
     pairs = [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (None, " a  b "), (4, "x" * 20_000), (5, "word " * 20_000)]
     docs = docs_of(pairs).withColumnRenamed("lang", "score")
