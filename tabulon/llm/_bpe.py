@@ -49,16 +49,22 @@ PART = 1 << 21
 
 
 class CachedEncoder:
-    """``tokenizers`` with a cache of pieces; its strings for special tokens are ordinary text."""
+    """``tokenizers`` with a cache of pieces. With ``added``, the strings of added tokens get their ids
+    in texts, as the library does it unless told otherwise; without, they are ordinary text."""
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        if self.tokenizer.normalizer is not None and tokens or any(t.lstrip or t.rstrip or t.single_word for t in tokens):
+            raise ValueError(f"{path} has added tokens that are more than their own strings")
+        self.added = sorted((t.content for t in tokens), key=len, reverse=True)
+        self._at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self.cache = cache
         self._clear()
@@ -113,6 +119,15 @@ class CachedEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has."""
+        if not any(a in t for a in self.added for t in texts):
+            return self._encode(texts)
+        # What stands between added tokens is encoded as a text of its own.
+        cut = [self._at_added.split(t) for t in texts]
+        ids, sizes = self._encode([x for c in cut for x in c])
+        counts = np.array([len(c) for c in cut])
+        return ids, np.add.reduceat(sizes, np.cumsum(counts) - counts)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts: list[str] = []
         counts = []
         for t in texts:
@@ -157,11 +172,11 @@ def portions(texts: list[str], chars: int = PART) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
-_encoders: dict[str, CachedEncoder] = {}
+_encoders: dict[tuple[str, bool], CachedEncoder] = {}
 
 
-def encoder(path: str) -> CachedEncoder:
+def encoder(path: str, added: bool = False) -> CachedEncoder:
     """The worker's encoder of that file; it outlives a task where Spark reuses workers."""
-    if path not in _encoders:
-        _encoders[path] = CachedEncoder(path)
-    return _encoders[path]
+    if (path, added) not in _encoders:
+        _encoders[path, added] = CachedEncoder(path, added=added)
+    return _encoders[path, added]

@@ -80,7 +80,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "op10-files")
-    simple8b.write_token_files(_read(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"))
+    simple8b.write_token_files(_read(spark, sf_dir, "documents"), to, tokenizer_file("byte_bpe_50k.json"), added=True)
     return simple8b.read_token_files(spark, to)
 
 

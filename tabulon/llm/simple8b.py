@@ -153,9 +153,9 @@ def decode_blocks(words: np.ndarray, escapes: np.ndarray, word_at: np.ndarray, e
     return out.astype(np.uint32)
 
 
-def _encode(path: str, end_id: int, frame_ids: int):
+def _encode(path: str, end_id: int, frame_ids: int, added: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _bpe.encoder(path)
+        enc = _bpe.encoder(path, added)
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -185,14 +185,15 @@ def _encode(path: str, end_id: int, frame_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, frame_ids: int = FRAME_IDS) -> None:
+def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, frame_ids: int = FRAME_IDS, added: bool = False) -> None:
     """Write the ids of every text, each with the end id, in ascending order of doc_id.
 
     Null texts count as empty; null ids come first; rows that repeat a doc_id are separate
-    documents, in the order of their texts. Other columns aren't read.
+    documents, in the order of their texts. Other columns aren't read. With ``added``, the string
+    of an added token in a text gets its id, as by the library's default; else it is ordinary text.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = map_arrow(ordered, _encode(path, end_id, frame_ids), "frame binary")
+    made = map_arrow(ordered, _encode(path, end_id, frame_ids, added), "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(to)
 
 

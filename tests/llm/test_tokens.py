@@ -8,7 +8,7 @@ import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
 from compare import DATA
-from tabulon.llm import _bpe, _lattice, simple8b, sp_nbest, unigram_count
+from tabulon.llm import _bpe, _lattice, queries, simple8b, sp_nbest, unigram_count
 from tabulon.llm._store import new_path
 
 BPE, PIECES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
@@ -61,6 +61,23 @@ def test_token_files(spark, docs_of):
         at += len(ids)
 
 
+def test_added_tokens_get_their_ids():
+    plain, enc = Tokenizer.from_file(BPE), _bpe.CachedEncoder(BPE, cache=50, added=True)  # the library as it is
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "", "a  <|endoftext|>\n<|endoftext|><|endoftext|> b", "c\n", *odd(random.Random(9), 2000)]
+    for lo in range(0, len(texts), 100):
+        ids, sizes = enc.encode(texts[lo : lo + 100])
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + 100]]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert enc.encode(texts[:1])[0].tolist() == [505, 220, 50256, 734]
+
+
+def test_the_query_encodes_as_the_library(spark, tmp_path):
+    rows = [(1, "one <|endoftext|> two"), (2, "three")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op10_token_files(spark, str(tmp_path)).collect()}
+    assert got[1] == (0, 5, zlib.crc32(np.array([505, 220, 50256, 734, 2], "<u4").tobytes())) and got[2][0] == 5
+
+
 def test_token_files_odd_tables(spark, docs_of):
     for pairs in ([], [(None, "b"), (1, "a"), (1, "a"), (None, None)]):
         to = new_path(spark, "test-tokens")
