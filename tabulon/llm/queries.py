@@ -57,7 +57,9 @@ def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = new_path(spark, "op6-archives")
     warc.write_pages(_read(spark, sf_dir, "pages"), to)
-    found = warc.read_archives(spark, to, payloads=False).filter("gap is null")
+    found = warc.read_archives(spark, to, payloads=False)
+    lost = F.concat_ws(" ", F.lit("op6 can't read back what it wrote:"), "file", F.lit("at"), F.col("start").cast("string"), "gap")
+    found = found.filter(F.assert_true(F.col("gap").isNull(), lost).isNull())
 
     def page(column: str):
         number = F.regexp_extract(column, warc.ID_PREFIX + "([-0-9]+)>", 1)

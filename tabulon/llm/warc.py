@@ -33,7 +33,6 @@ DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2000
 #: Digests of repeated payloads up to so many are broadcast (about 50 bytes each).
 BROADCAST_DIGESTS = 100_000
-MOST_HEADER_BYTES = 1 << 16
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -111,19 +110,20 @@ def _plain(data: bytes, at: int) -> Record | str:
     line = _VERSION_LINE.match(data, at)
     if not line:
         return "no version line"
-    stop = data.find(b"\r\n\r\n", line.end() - 2, line.end() + MOST_HEADER_BYTES)
-    if stop < 0:
-        return "headers don't end"
     headers: dict[str, str] = {}
-    for x in data[line.end() : stop].split(b"\r\n"):
-        name, colon, value = x.partition(b":")
-        if x and not colon:
+    begin = line.end()
+    while (stop := data.find(b"\r\n", begin)) != begin:  # up to an empty line, however long a header is
+        if stop < 0:
+            return "headers don't end"
+        colon = data.find(b":", begin, stop)
+        if colon < 0:
             return "a header without a colon"
-        headers[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        headers[data[begin:colon].strip().lower().decode("latin-1")] = data[colon + 1 : stop].strip().decode("utf-8", "replace")
+        begin = stop + 2
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
         return "no length"
-    begin = stop + 4
+    begin = stop + 2
     end = begin + int(size)
     if data[end : end + 4] != b"\r\n\r\n":
         return "the block doesn't end where its length says"

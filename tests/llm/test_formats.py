@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.llm import chat_format as chat
-from tabulon.llm import warc
+from tabulon.llm import queries, warc
 from tabulon.llm._store import new_path
 
 NASTY = ["", "\\", "</s>", "[INST] ok [/INST]", "<<SYS>>", "<", "[", "\\\\<s>", "<|end|><|turn|>", "<<s>", "a\nb", "\\n", "<</SYS>", "😀", "<s><s>"]
@@ -88,6 +88,22 @@ def test_small_payloads_are_always_responses(spark):
     assert sorted(r.record_type for r in warc.read_archives(spark, to).collect()) == ["response", "response", "response", "revisit"]
 
 
+def test_headers_of_any_length(spark, tmp_path):
+    rows = [(1, "u", "a"), (2, "data:," + "x" * 300_000, "b"), (3, "u", "c")]
+    pages_of(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted(r.page_id for r in queries.op6_warc(spark, str(tmp_path)).collect()) == [1, 2, 3]
+    to = new_path(spark, "test-warc")
+    warc.write_pages(pages_of(spark, rows), to)
+    assert {r.target_uri for r in warc.read_archives(spark, to).collect()} == {u for _, u, _ in rows}
+
+
+def test_the_query_fails_rather_than_lose_pages(spark, tmp_path, monkeypatch):
+    pages_of(spark, [(1, "u", "a")]).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(warc, "write_pages", lambda pages, to: pages.selectExpr("'lost' AS value").write.text(to))
+    with pytest.raises(Exception, match="can't read back"):
+        queries.op6_warc(spark, str(tmp_path)).collect()
+
+
 def test_no_pages(spark):
     to = new_path(spark, "test-warc")
     warc.write_pages(pages_of(spark, []), to)
