@@ -19,6 +19,14 @@ def test_query_without_sql(spark, name):
     assert catalogue.queries()[name](spark, DATA).count() > 0
 
 
+def test_schema_catalog_has_every_table_and_no_other(spark):
+    from pathlib import Path
+
+    spark.range(1).createOrReplaceTempView("left_by_another_query")
+    got = {r.table for r in catalogue.queries()["q43_schema_catalog"](spark, DATA).collect()}
+    assert got == {f"q43_{p.stem}" for p in Path(DATA).glob("*.parquet")} and len(got) == 14
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
