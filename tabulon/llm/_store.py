@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -54,12 +55,35 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that ``saved`` made and that nothing reads any more."""
-    paths = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for p in paths:
-        if "/tabulon/" in p:
-            drop_path(df.sparkSession, p)
+class Scratch:
+    """A folder for what one call of an operator needs more than once, deleted when it's done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self._n = spark, new_path(spark, name), 0
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of ``df``, written once and read from there."""
+        self._n += 1
+        path = f"{self.path}/{self._n:03d}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of ``df``, written outside of the folder, which is deleted."""
+        out = saved(df, name)
+        self.drop()
+        return out
+
+    def drop(self) -> None:
+        drop_path(self.spark, self.path)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores after it where a column is called so, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 #: Bytes of an Arrow batch where the session doesn't say: what a Python worker holds at once.
@@ -67,6 +91,14 @@ BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class _Released:
     """A function over batches after which a worker gives freed memory back to the system."""
 
@@ -75,9 +107,7 @@ class _Released:
 
     def __call__(self, batches):
         yield from self.run(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm._store import drop, saved
+from tabulon.llm._store import Scratch
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -21,23 +21,25 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.filter("a != b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("own"), F.lit(0).alias("root")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    per_node = ends.groupBy("node").agg(F.sum("own").alias("own"), F.max("root").alias("root"))
+    return per_node.filter("own > 1 or (own = 1 and root = 1)").isEmpty()
+
+
+def connected_components(work: Scratch, edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
     """(node, component) for each node on an edge; the component is its smallest node.
 
     Self-links and repeated links are allowed; links with a null end are ignored. Every round is
-    written to the shared folder; nothing about nodes or links comes to the driver but a count
-    and a checksum.
+    written to ``work``; nothing about nodes or links comes to the driver but whether they are
+    settled: each node linked to its component's least one and to no other.
     """
-    cur = saved(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct(), "links")
-    before = None
+    cur = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     for _ in range(rounds):
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        cur = work.saved(_star(_star(cur, True), False), "links")
+        if _settled(cur):
             break
-        before = now
-        after = saved(_star(_star(cur, True), False), "links")
-        drop(cur)
-        cur = after
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

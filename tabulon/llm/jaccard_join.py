@@ -1,21 +1,22 @@
 """Exact n-gram Jaccard self-join by vertical partitioning.
 
-The n-grams of all texts have one global order: fragment, then document frequency, then hash.
+The n-grams of all texts have one global order: fragment, then how many sets hold it, then hash.
 Fragments are cut from the hash, so each holds an even share of every document. Partial overlaps
 are counted fragment by fragment and summed per pair.
 
-Which pairs are counted: two sets that link differ, over all fragments and so within any single
-one, in at most ``(1 - t) / (1 + t) * (|x| + |y|)`` n-grams. In the first fragment, sorted by
-frequency, they share an n-gram among the first ``floor((1 - t) * |x|) + 1`` of either, and at
-the first one they share, what both have passed doesn't exceed that difference. N-grams of one
-document only can't be shared, so of every document little is left to be matched. Documents so
-short that the first fragment might not hold enough of them go by all their n-grams instead.
+Which pairs are counted: two sets that link share an n-gram among the first
+``floor((1 - t) * |x|) + 1`` of either in the global order, and at the first one they share, what
+both have passed doesn't exceed ``(1 - t) / (1 + t) * (|x| + |y|)``, the most in which they may
+differ. So a set gives out its n-grams of the first fragment, and of the next ones only if it has
+too few there. N-grams of one set only can't be shared, so of every set little is left to be matched.
 
 Components need not every link. First the members of an n-gram's group are held against a few of
-them, those whose sets have the least hashes, on which groups with many members in common mostly
-agree. What links becomes a component. Then those with the most links so far are held against
-members of other components, and at last all members of different components against each other. A bitmap of each set gives a lower bound of the
-difference, so pairs that can't link are dropped inside the join. Identical sets are one node.
+them, those of the greatest names, on which groups with many members in common mostly agree. What
+links becomes a component. Then those with the most links so far are held against members of other
+components, and at last all members of different components against each other. Pairs that were
+counted before aren't counted again. A bitmap of each set gives a lower bound of the difference, so
+pairs that can't link are dropped inside the join. Identical sets are one node. Joins by n-gram read
+both sides from a shuffle, so that Spark can split a group that many sets share.
 
 Links are counted, or listed, within the components, since no link leaves one. A component's sets
 are dealt into blocks by hash, and every two blocks meet in a worker, which counts what each set of
@@ -33,33 +34,36 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabulon.llm import _words
-from tabulon.llm._store import drop, map_arrow, saved
+from tabulon.llm._store import Scratch, map_arrow
 from tabulon.llm.components import connected_components
 
-BITMAP_LONGS = 16
-#: How many members of a group are held against all others before the rest are.
+BITMAP_LONGS = 8
+#: How many members of a group are held against all others before the rest are, one of each slot by hash.
 HUBS = 8
-#: Candidate ids up to so many are broadcast (8 bytes each); beyond, the join shuffles.
-BROADCAST_IDS = 400_000
+#: Rows of ids and names up to so many are broadcast (32 bytes each and the id); beyond, the join shuffles.
+BROADCAST_IDS = 100_000
 #: Sets, and n-grams, that a block of a component has on average.
 BLOCK_SETS = 128
 BLOCK_TOKENS = 1 << 18
+#: Sets that a task remembers to have given out.
+SEEN = 200_000
 #: Rounding slack of comparisons with a bound computed in floating point.
 SLACK = 1e-9
 
+_BITMAP = [f"m{k}" for k in range(BITMAP_LONGS)]
 
-def _first_fragment(tokens: np.ndarray, fragments: int) -> np.ndarray:
-    return tokens[(tokens >> np.uint64(33)) % np.uint64(fragments) == 0]
 
-
-def _sets(batches: Iterator[pa.RecordBatch], n: int, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in (part for whole in batches for part in _words.parts(whole)):
         texts = batch.column("text").cast(pa.binary()).to_pylist()
-        yield batch, [_words.shingles(w.hashes, n) for w in _words.words(texts, lower=True, seed=seed)]
+        yield batch, [_words.shingles(w.hashes, n) for w in _words.words(texts, lower=True)]
 
 
-def _fingerprint(s: np.ndarray, salt: int) -> int:
-    return int(_words.mix(_words.mix(s + np.uint64(salt)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
+def _fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    pair = [_words.mix(s + np.uint64(salt)).sum(dtype=np.uint64) for salt in (1, 2)]
+    a, b = _words.mix(np.array(pair, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)
+    return int(a), int(b)
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -68,65 +72,68 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _describe(n: int, fragments: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, n, seed):
-            full = [s for s in sets if len(s)]
-            maps = np.stack([_bitmap(s) for s in full]) if full else np.zeros((0, BITMAP_LONGS), np.int64)
-            where = np.full(len(sets), -1)
-            where[[i for i, s in enumerate(sets) if len(s)]] = np.arange(len(full))
-            cols = [
-                batch.column("doc_id"),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([len(_first_fragment(s, fragments)) for s in sets], pa.int64()),
-                pa.array([_fingerprint(s, 1) for s in sets], pa.int64()),
-                pa.array([_fingerprint(s, 2) for s in sets], pa.int64()),
-            ]
-            cols += [pa.array(np.where(where >= 0, maps[where, k] if len(full) else 0, 0), pa.int64()) for k in range(BITMAP_LONGS)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "n0", "fp", "fp2", *(f"m{k}" for k in range(BITMAP_LONGS))])
+def _fragment(tokens: np.ndarray, fragments: int) -> np.ndarray:
+    return (tokens >> np.uint64(33)) % np.uint64(fragments)
 
-    return run
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def _postings(n: int, fragments: int, seed: int, threshold: float, short: int):
-    """(token, node) of each set once per task: even tokens of the first fragment, odd ones of short sets."""
+def _given_out(s: np.ndarray, fragments: int, threshold: float) -> tuple[np.ndarray, list[int]]:
+    """The n-grams of as many fragments as hold the set's prefix, and how many there are up to each of these."""
+    need = int((1 - threshold) * len(s) + SLACK) + 1
+    frag = _fragment(s, fragments)
+    upto = np.cumsum(np.bincount(frag.astype(np.int64), minlength=fragments))
+    last = int(np.searchsorted(upto, need))
+    return s[frag <= np.uint64(last)], upto[: last + 1].tolist()
+
+
+def _describe(n: int, fragments: int, threshold: float):
+    none = np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for _, sets in _sets(batches, n, seed):
-            tokens, nodes = [], []
-            for s in sets:
-                if not len(s) or (fp := _fingerprint(s, 1)) in seen:
+        seen: set[tuple[int, int]] = set()
+        for batch, sets in _sets(batches, n):
+            maps, names, tokens, upto = np.zeros((len(sets), BITMAP_LONGS), np.int64), [], [], []
+            for k, s in enumerate(sets):
+                name = _fingerprints(s) if len(s) else (0, 0)
+                names.append(name)
+                if not len(s) or name in seen:  # a copy that the task has given out
+                    tokens.append(none)
+                    upto.append([])
                     continue
-                if len(seen) < 200_000:  # a bound on memory; what repeats beyond it is dropped after the shuffle
-                    seen.add(fp)
-                parts = []
-                if len(s) >= threshold * short - SLACK:
-                    parts.append(_first_fragment(s, fragments) & ~np.uint64(1))
-                if len(s) < short:
-                    parts.append(s | np.uint64(1))
-                for p in parts:
-                    tokens.append(p.view(np.int64))
-                    nodes.append(np.full(len(p), fp, dtype=np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(nodes))], ["token", "node"])
+                if len(seen) < SEEN:  # a bound on memory; what repeats beyond it is dropped after the shuffle
+                    seen.add(name)
+                maps[k] = _bitmap(s)
+                out, sizes = _given_out(s, fragments, threshold)
+                tokens.append(out.view(np.int64))
+                upto.append(sizes)
+            cols = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64())]
+            cols += [pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)]
+            cols += [pa.array(maps[:, k]) for k in range(BITMAP_LONGS)]
+            cols += [_lists(upto, pa.int32()), _lists(tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "fp", "fp2", *_BITMAP, "upto", "tokens"])
 
     return run
 
 
-def _segments(n: int, fragments: int, seed: int):
-    """(node, fragment, tokens) of each text."""
+def _segments(n: int, fragments: int):
+    """(node, frag, tokens) of each text whose fingerprints are the node's: a repeated id may have other texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, sets in _sets(batches, n, seed):
+        for batch, sets in _sets(batches, n):
             nodes, frags, segs = [], [], []
-            for s in sets:
-                fp, f = _fingerprint(s, 1), (s >> np.uint64(33)) % np.uint64(fragments)
+            for s, node, fp, fp2 in zip(sets, *(batch.column(c).to_pylist() for c in ("node", "fp", "fp2")), strict=True):
+                if _fingerprints(s) != (fp, fp2):
+                    continue
+                f = _fragment(s, fragments)
                 for k in range(fragments):
-                    nodes.append(fp)
+                    nodes.append(node)
                     frags.append(k)
                     segs.append(s[f == k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), pa.array(segs, pa.list_(pa.int64()))], ["node", "frag", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), _lists(segs, pa.int64())], ["node", "frag", "tokens"])
 
     return run
 
@@ -139,19 +146,23 @@ def _most_apart(t: float, a: Column, b: Column) -> Column:
 def _may_link(t: float, x: str, y: str) -> Column:
     """What sizes, positions and bitmaps of two prefix rows allow."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = sum((F.bit_count(F.col(f"{x}.m{k}").bitwiseXOR(F.col(f"{y}.m{k}"))) for k in range(BITMAP_LONGS)), F.lit(0))
+    differ = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in _BITMAP), F.lit(0))
     sizes = (F.least(nx, ny) >= t * F.greatest(nx, ny) - SLACK) & (F.col(f"{x}.pos") + F.col(f"{y}.pos") <= _most_apart(t, nx, ny))
     return sizes & (differ <= _most_apart(t, nx, ny))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, fragments: int, seed: int, t: float) -> DataFrame:
-    """The pairs (a, b) of nodes that link: partial overlaps by fragment, summed per pair."""
-    pairs = saved(pairs, "op5-pairs")
-    wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "rep"), "node").select("rep"), "op5-wanted")
-    small = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, docs["doc_id"] == wanted["rep"], "left_semi")
-    segs = map_arrow(texts, _segments(n, fragments, seed), "node long, frag int, tokens array<long>")
-    segs = saved(segs, "op5-segments")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, fp, fp2, text) of the texts of the representatives (node, rep, fp, fp2), of which there are few or many."""
+    few = wanted.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["rep"]).select("node", "fp", "fp2", "text")
+
+
+def _verified(work: Scratch, pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, fragments: int, t: float) -> DataFrame:
+    """The pairs (a, b) of nodes that link, of a written table: partial overlaps by fragment, summed per pair."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = work.saved(ends.join(nodes.select("node", "rep", "fp", "fp2"), "node"), "wanted")
+    segs = map_arrow(_texts_of(docs, wanted), _segments(n, fragments), "node long, frag int, tokens array<long>")
+    segs = work.saved(segs, "segments")
     spread = pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))).alias("frag"))
     left = segs.select(F.col("node").alias("a"), "frag", F.col("tokens").alias("ta"))
     right = segs.select(F.col("node").alias("b"), "frag", F.col("tokens").alias("tb"))
@@ -160,74 +171,89 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, fragm
     ).distinct()  # a repeated row of ``docs`` gives a segment twice
     total = partial.groupBy("a", "b").agg(F.sum("part").alias("common"), F.sum("both").alias("sizes"))
     t100 = round(t * 10_000)
-    links = saved(total.filter(F.col("common") * 10_000 >= F.lit(t100) * (F.col("sizes") - F.col("common"))).select("a", "b"), "op5-links")
-    drop(segs)
-    return links
-
-
-def _components(docs: DataFrame, n: int, threshold: float, fragments: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Rows with their node, nodes, (node, component, component_id) and the seed of the hashes."""
+    return work.saved(total.filter(F.col("common") * 10_000 >= F.lit(t100) * (F.col("sizes") - F.col("common"))).select("a", "b"), "links")
+
+
+def _named(work: Scratch, grouped: DataFrame, name_bits: int) -> DataFrame:
+    """The sets with ``node``, a 64-bit name of their own: their first fingerprint, but where several share it."""
+    name = F.col("fp") if name_bits == 64 else F.pmod("fp", F.lit(1 << name_bits))
+    nodes = work.saved(grouped.withColumn("node", name), "nodes")
+    clash = nodes.groupBy("node").count().filter("count > 1").select("node")
+    if clash.isEmpty():
+        return nodes
+    clash = work.saved(clash, "clashes")
+    for salt in range(16):
+        anew = nodes.join(clash, "node", "left_semi").withColumn("node", F.xxhash64(F.lit(salt), "fp", "fp2"))
+        named = work.saved(nodes.join(clash, "node", "left_anti").unionByName(anew), "nodes")
+        if named.groupBy("node").count().filter("count > 1").isEmpty():
+            return named
+    raise RuntimeError("sets share their names under every salt")
+
+
+def _components(work: Scratch, docs: DataFrame, n: int, threshold: float, fragments: int, name_bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n, fp, fp2), nodes (node, rep, copies, n, fp, fp2) and (node, fp, fp2, component, component_id)."""
     docs = docs.select("doc_id", "text")
-    bitmap = [f"m{k}" for k in range(BITMAP_LONGS)]
-    schema = "doc_id {}, n long, n0 long, fp long, fp2 long, {}".format(dict(docs.dtypes)["doc_id"], ", ".join(f"{m} long" for m in bitmap))
-    for seed in range(8):
-        sets = saved(map_arrow(docs, _describe(n, fragments, seed), schema), "op5-sets")
-        grouped = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("fp2").alias("_lo"), F.max("fp2").alias("_hi"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("n0").alias("n0"), *(F.first(m).alias(m) for m in bitmap))
-        nodes = saved(grouped.withColumnRenamed("fp", "node"), "op5-nodes")
-        # Sets of at most `fragments * slack` n-grams may have too few in the first fragment.
-        unsafe = F.col("n0") <= F.floor((1 - threshold) * F.col("n") + SLACK)
-        clash, longest = nodes.agg(F.coalesce(F.max(F.col("_lo") != F.col("_hi")), F.lit(False)), F.coalesce(F.max(F.when(unsafe, F.col("n"))), F.lit(0))).first()
-        if not clash:  # else two sets share a 64-bit name: name them anew
-            break
-    short = int((longest + 1) / threshold) + 1
-
-    posts = map_arrow(docs, _postings(n, fragments, seed, threshold, short), "token long, node long")
-    counts = posts.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("_l"), F.max("node").alias("_h"))
-    shared = saved(counts.filter("_l < _h").select("token", "df"), "op5-shared")
-    counted = posts.join(shared, "token").distinct()
-    space = (F.col("token").bitwiseAND(F.lit(1))).alias("whole")
-    ranked = counted.select("token", "node", "df", space).join(nodes.drop("rep", "_lo", "_hi", "copies"), "node")
-    order = Window.partitionBy("node", "whole")
-    size = F.when(F.col("whole") == 1, F.col("n")).otherwise(F.col("n0"))
-    pos = size - F.count("*").over(order) + F.row_number().over(order.orderBy("df", "token")) - 1
-    prefix = ranked.withColumn("pos", pos).filter(F.col("pos") <= F.floor((1 - threshold) * F.col("n") + SLACK))
-    prefix = saved(prefix.select("token", "node", "n", "pos", *bitmap), "op5-prefixes")
-
-    def held_against(hubs: DataFrame, rows: DataFrame, before: DataFrame | None) -> DataFrame:
-        """Pairs of a hub and another member of the same n-gram's group that may link, in different components."""
+    schema = "doc_id {}, n long, fp long, fp2 long, {}, upto array<int>, tokens array<long>".format(dict(docs.dtypes)["doc_id"], ", ".join(f"{m} long" for m in _BITMAP))
+    sets = work.saved(map_arrow(docs, _describe(n, fragments, threshold), schema), "sets")
+    grouped = sets.filter("n > 0").groupBy("fp", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("n").alias("n"), F.max("n").alias("_most"), F.max(F.struct(F.size("upto").alias("k"), *_BITMAP, "upto", "tokens")).alias("s"))
+    same = F.when(F.col("n") == F.col("_most"), F.col("n")).otherwise(F.raise_error(F.lit("two sets share 128 bits of fingerprints")).cast("long"))
+    nodes = _named(work, grouped.select("fp", "fp2", "rep", "copies", same.alias("n"), *[f"s.{m}" for m in _BITMAP], "s.upto", "s.tokens"), name_bits)
+
+    posts = nodes.filter("rep is not null").select("node", F.explode("tokens").alias("token"))
+    shared = work.saved(posts.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
+    frag = F.pmod(F.shiftrightunsigned("token", 33), F.lit(fragments)).cast("int")
+    counted = posts.join(shared, "token").withColumn("frag", frag).join(nodes.select("node", "n", "upto"), "node")
+    order = Window.partitionBy("node", "frag")
+    pos = F.get("upto", F.col("frag")) - F.count("*").over(order) + F.row_number().over(order.orderBy("df", "token")) - 1
+    prefix = counted.withColumn("pos", pos).filter(F.col("pos") <= F.floor((1 - threshold) * F.col("n") + SLACK)).select("token", "node", "pos")
+    prefix = work.saved(prefix.join(nodes.select("node", "n", *_BITMAP), "node"), "prefixes")
+
+    def chosen(rows: DataFrame, best: Column) -> DataFrame:
+        """A few members of each n-gram's group: of each slot by hash, the one with the greatest struct."""
+        return rows.groupBy("token", F.pmod("node", F.lit(HUBS)).alias("slot")).agg(F.max(best).alias("h")).select("token", "h.*")
+
+    def held_against(hubs: DataFrame, rows: DataFrame, settled: bool, before: list[DataFrame]) -> DataFrame:
+        """Pairs (a, b) of a hub and another member of an n-gram's group that may link, not counted before,
+        and in different components if some are ``settled``."""
         apart = F.col("x.node") != F.col("y.node") if hubs is not rows else F.col("x.node") < F.col("y.node")
-        if before is not None:
+        if settled:
             apart = apart & (F.col("x.comp") != F.col("y.comp"))
         pairs = rows.alias("y").join(hubs.alias("x"), (F.col("x.token") == F.col("y.token")) & apart & _may_link(threshold, "x", "y"))
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        for b in before:
+            pairs = pairs.join(b, ["a", "b"], "left_anti")
+        return work.saved(pairs, "pairs")
 
-    def unsettled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-        """The prefixes with their components, of those n-grams whose group has several."""
-        own = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-        mixed = own.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("token")
-        return saved(own.join(mixed, "token", "left_semi"), "op5-unsettled")
+    def with_components(comps: DataFrame) -> DataFrame:
+        own = prefix.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+        return work.saved(own, "prefixes")
 
-    first = F.row_number().over(Window.partitionBy("token").orderBy("node"))
-    hubs = saved(prefix.withColumn("_k", first).filter(F.col("_k") <= HUBS).drop("_k"), "op5-hubs")
-    links = _verified(held_against(hubs, prefix, None), docs, nodes, n, fragments, seed, threshold)
+    carried = ["node", "pos", "n", *_BITMAP]
+    hubs = chosen(prefix, F.struct(*carried))
+    tried = [held_against(hubs, prefix, False, [])]
+    links = _verified(work, tried[0], docs, nodes, n, fragments, threshold)
 
     # Whoever has the same least neighbour is connected; that is enough to begin with.
     near = links.unionAll(links.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component"), F.count("*").alias("degree"))
-    near = saved(near, "op5-neighbours")
-    rest = unsettled(prefix, near.drop("degree"))
-    most = F.row_number().over(Window.partitionBy("token").orderBy(F.desc("degree"), "node"))
-    hubs = saved(rest.join(near.select("node", "degree"), "node").withColumn("_k", most).filter(F.col("_k") <= HUBS).drop("_k", "degree"), "op5-hubs")
-    links = saved(links.unionByName(_verified(held_against(hubs, rest, links), docs, nodes, n, fragments, seed, threshold)), "op5-links")
-
-    comps = saved(connected_components(links, "a", "b"), "op5-components")
-    rest = unsettled(rest.drop("comp"), comps)
-    more = _verified(held_against(rest, rest, comps), docs, nodes, n, fragments, seed, threshold)
-    if not more.isEmpty():
-        comps = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
-
-    named = saved(nodes.select("node", "rep").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "op5-members")
-    least = saved(named.groupBy("component").agg(F.min("rep").alias("component_id")), "op5-least")
-    return sets, nodes, saved(named.join(least, "component").select("node", "component", "component_id"), "op5-named"), seed
+    rows = with_components(near)
+    hubs = chosen(rows.filter("degree is not null"), F.struct("degree", *carried, "comp")).drop("degree")
+    tried.append(held_against(hubs, rows, True, tried))
+    if not tried[1].isEmpty():
+        links = links.unionByName(_verified(work, tried[1], docs, nodes, n, fragments, threshold))
+
+    comps = work.saved(connected_components(work, links, "a", "b"), "components")
+    rows = with_components(comps)
+    mixed = work.saved(rows.groupBy("token").agg(F.min("comp").alias("_l"), F.max("comp").alias("_h")).filter("_l < _h").select("token"), "mixed")
+    rest = work.saved(rows.join(mixed, "token", "left_semi"), "unsettled")
+    tried.append(held_against(rest, rest, True, tried))
+    if not tried[2].isEmpty():
+        more = _verified(work, tried[2], docs, nodes, n, fragments, threshold)
+        if not more.isEmpty():
+            comps = connected_components(work, comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
+
+    named = work.saved(nodes.select("node", "rep", "fp", "fp2").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+    least = work.saved(named.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    return sets.select("doc_id", "n", "fp", "fp2"), nodes, named.join(least, "component").select("node", "fp", "fp2", "component", "component_id")
 
 
 def _blocks_met(t: float, pairs: bool):
@@ -284,18 +310,16 @@ def _blocks_met(t: float, pairs: bool):
     return run
 
 
-def _links(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, n: int, seed: int, t: float, pairs: bool) -> DataFrame:
+def _links(work: Scratch, docs: DataFrame, nodes: DataFrame, of_node: DataFrame, n: int, t: float, pairs: bool) -> DataFrame:
     """(node, links) or (a, b, common) of all links between distinct sets."""
     named = of_node.join(nodes.select("node", "rep", "copies", "n"), "node").filter("rep is not null")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    several = saved(named.groupBy("component").agg(F.count("*").alias("_k"), blocks).filter("_k > 1").drop("_k"), "op5-several")
-    dealt = named.join(several, "component").select("node", "rep", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    dealt = saved(dealt, "op5-blocks")
-    wanted = dealt.select("rep").distinct()
-    small = dealt.count() <= BROADCAST_IDS
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if small else wanted, F.col("doc_id") == F.col("rep"), "left_semi")
-    whole = map_arrow(texts, _segments(n, 1, seed), "node long, frag int, tokens array<long>").drop("frag")
-    each = whole.join(dealt.drop("rep"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    several = work.saved(named.groupBy("component").agg(F.count("*").alias("_k"), blocks).filter("_k > 1").drop("_k"), "several")
+    dealt = named.join(several, "component").select("node", "rep", "fp", "fp2", "copies", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    dealt = work.saved(dealt, "blocks")
+    texts = _texts_of(docs.select("doc_id", "text"), dealt.select("node", "rep", "fp", "fp2"))
+    whole = map_arrow(texts, _segments(n, 1), "node long, frag int, tokens array<long>").drop("frag")
+    each = whole.join(dealt.drop("rep", "fp", "fp2"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     keys = ["component", "i", "j"]
     each = each.select("component", i.alias("i"), j.alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "copies", "tokens")
@@ -303,7 +327,7 @@ def _links(docs: DataFrame, nodes: DataFrame, of_node: DataFrame, n: int, seed:
     return map_arrow(each, _blocks_met(t, pairs), "a long, b long, common long" if pairs else "node long, links long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4, name_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Texts are taken whole, A-Z lower-cased; a text of fewer than ``n`` words is one shingle; one
@@ -312,11 +336,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: float = 0.9, frag
     component is the smallest doc_id reachable by links. Rows that repeat a doc_id are one node
     if their sets are equal, else each has its own row and component. A row whose doc_id is null
     has a component through an equal set only, else null. Other columns aren't read; an empty
-    table gives an empty result.
+    table gives an empty result. ``name_bits`` narrows the names of sets, to test names that clash.
     """
-    sets, _, of_node, _ = _components(docs, n, threshold, fragments)
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_node, sets["fp"] == of_node["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    work = Scratch(docs.sparkSession, "op5")
+    sets, _, of_node = _components(work, docs, n, threshold, fragments, name_bits)
+    out = sets.join(of_node, ["fp", "fp2"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return work.result(out, "op5-components")
 
 
 def jaccard_links(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
@@ -328,29 +354,30 @@ def jaccard_links(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments
     words link with nothing and are their own class. Sets that only rows with a null doc_id have
     link within their class alone.
     """
-    sets, nodes, of_node, seed = _components(docs, n, threshold, fragments)
-    links = _links(docs, nodes, of_node, n, seed, threshold, False).groupBy("node").agg(F.sum("links").alias("links"))
+    work = Scratch(docs.sparkSession, "op5")
+    sets, nodes, of_node = _components(work, docs, n, threshold, fragments)
+    links = _links(work, docs, nodes, of_node, n, threshold, False).groupBy("node").agg(F.sum("links").alias("links"))
     of_class = of_node.drop("component").join(nodes.select("node", "rep", "copies"), "node").join(links, "node", "left")
-    of_class = saved(of_class, "op5-classes")
-    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(of_class, sets["fp"] == of_class["node"], "left")
+    out = sets.join(work.saved(of_class, "classes"), ["fp", "fp2"], "left")
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), n_links.alias("n_links"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"), n_links.alias("n_links"))
+    return work.result(out, "op5-links")
 
 
 def jaccard_pairs(docs: DataFrame, n: int = 3, threshold: float = 0.9, fragments: int = 4) -> DataFrame:
     """(class_a, class_b, common) of every link between different sets, class_a being the smaller name, and
     how many shingles they share. ``jaccard_links`` tells each row's class. A family of k sets has up to
     k * (k - 1) / 2 links."""
-    _, nodes, of_node, seed = _components(docs, n, threshold, fragments)
-    pairs = _links(docs, nodes, of_node, n, seed, threshold, True)
+    work = Scratch(docs.sparkSession, "op5")
+    _, nodes, of_node = _components(work, docs, n, threshold, fragments)
+    pairs = _links(work, docs, nodes, of_node, n, threshold, True)
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("rep").alias(f"_{side}")), side)
-    return pairs.select(F.least("_a", "_b").alias("class_a"), F.greatest("_a", "_b").alias("class_b"), "common")
+    return work.result(pairs.select(F.least("_a", "_b").alias("class_a"), F.greatest("_a", "_b").alias("class_b"), "common"), "op5-pairs")
 
 
 def keep_one(docs: DataFrame, n: int = 5, threshold: float = 0.8, fragments: int = 3) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose id names their component."""
     kept = jaccard_components(docs, n, threshold, fragments).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = saved(kept, "op5-kept")
-    small = kept.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if small else kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    few = kept.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(kept) if few else kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")

@@ -6,6 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from tabulon.llm import exact_dedup, jaccard_join
+from tabulon.llm._store import Scratch
 from tabulon.llm.components import connected_components
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -105,6 +106,11 @@ def test_jaccard_against_brute_force(docs_of):
     assert components(docs_of(pairs), n=5, threshold=0.8, fragments=3) == brute_components(pairs, 5, 80)
 
 
+def test_names_that_clash_are_told_apart(docs_of):
+    pairs = near_copies(random.Random(15))
+    assert components(docs_of(pairs), name_bits=3) == brute_components(pairs, 3, 90)
+
+
 def test_jaccard_one_large_family(docs_of):
     rng = random.Random(6)
     base = [f"w{i}" for i in range(200)]
@@ -157,6 +163,6 @@ def test_jaccard_odd_tables(docs_of):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(20)] + [(7, 7), (None, 3)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.component for r in connected_components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(20)}}
-    assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+    assert connected_components(Scratch(spark, "test"), spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
