@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulon.llm._store import drop, saved
+from tabulon.llm._store import Scratch
 
-#: Buckets in which names are sorted. A name is the bucket and the rank in it.
+#: Buckets in which names are sorted, or more, of so many rows on average. A name is the bucket and the rank in it.
 NAME_BUCKETS = 1 << 12
+BUCKET_ROWS = 1 << 20
 RANK_BITS = 40
 
 
@@ -36,15 +37,15 @@ def _blocks(norm: Column, size: int) -> Column:
     )
 
 
-def _named(df: DataFrame, hashed: Column, order: list[str]) -> DataFrame:
-    """``df``, of distinct rows, with ``name``: its bucket and its rank in the sorted bucket."""
-    bucket = F.pmod(hashed, F.lit(NAME_BUCKETS))
+def _named(df: DataFrame, hashed: Column, order: list[str], rows: int) -> DataFrame:
+    """``df``, of up to so many distinct rows, with ``name``: its bucket and its rank in the sorted bucket."""
+    bucket = F.pmod(hashed, F.lit(max(NAME_BUCKETS, rows // BUCKET_ROWS)))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     name = F.shiftleft(F.col("_bucket").cast("long"), RANK_BITS) + rank
     return df.withColumn("_bucket", bucket).withColumn("name", name).drop("_bucket")
 
 
-def exact_dedup(docs: DataFrame, block_chars: int = 2048, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, block_chars: int = 8192, hash_bits: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty; all empty texts are equal. Of equal texts the smallest doc_id
@@ -59,33 +60,34 @@ def exact_dedup(docs: DataFrame, block_chars: int = 2048, hash_bits: int = 64) -
         h = F.xxhash64(block)
         return h if hash_bits == 64 else F.pmod(h, F.lit(1 << hash_bits))
 
+    work = Scratch(docs.sparkSession, "op2")
     norm = docs.select(F.col("doc_id"), normalised(F.col("text")).alias("_norm"))
     cut = norm.select("doc_id", F.sha2("_norm", 256).alias("sha"), _blocks(F.col("_norm"), block_chars).alias("_b"))
     blocks = cut.select("doc_id", "sha", F.size("_b").alias("n"), F.posexplode("_b").alias("pos", "block"))
-    occ = saved(blocks.select("doc_id", "sha", "n", "pos", hashed(F.col("block")).alias("h")), "op2-occurrences")
+    occ = work.saved(blocks.select("doc_id", "sha", "n", "pos", hashed(F.col("block")).alias("h")), "occurrences")
+    total, most = occ.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
 
     text_only = norm.select(F.explode(_blocks(F.col("_norm"), block_chars)).alias("block"))
     distinct = text_only.select(hashed(F.col("block")).alias("h"), "block").distinct()
-    per_hash = saved(_named(distinct.groupBy("h").agg(F.count("*").alias("texts")), F.col("h"), ["h"]), "op2-names")
+    per_hash = work.saved(_named(distinct.groupBy("h").agg(F.count("*").alias("texts")), F.col("h"), ["h"], total), "names")
     named = occ.join(per_hash.filter("texts = 1").select("h", "name"), "h", "left")
     clash = per_hash.filter("texts > 1").select("h")
     if not clash.isEmpty():
-        named = _by_text(named, blocks, distinct, clash, hashed)
-    cur = saved(named.select("doc_id", "sha", "n", "pos", "name"), "op2-level0")
+        named = _by_text(named, blocks, distinct, clash, hashed, total)
+    cur = work.saved(named.select("doc_id", "sha", "n", "pos", "name"), "level0")
 
     heads = cur.filter("pos = 0 and n > 1").select("doc_id", "sha")
     single = cur.filter("n = 1").select("doc_id", "sha", F.lit(0).alias("level"), "name")
     level, done, open_ = 0, [], cur.filter("n > 1").select("doc_id", "sha", "n", "pos", "name")
-    most = cur.agg(F.max("n")).first()[0] or 0
     while most > 1:
         level += 1
         even = F.pmod(F.col("pos"), F.lit(2)) == 0
         pairs = open_.groupBy("doc_id", "sha", "n", F.floor(F.col("pos") / 2).cast("int").alias("at")).agg(
             F.max(F.when(even, F.col("name"))).alias("l"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("r")
         )
-        names = _named(pairs.select("l", "r").distinct(), F.xxhash64("l", "r"), ["l", "r"])
+        names = _named(pairs.select("l", "r").distinct(), F.xxhash64("l", "r"), ["l", "r"], total)
         half = F.ceil(F.col("n") / 2).cast("int")
-        here = saved(pairs.join(names, ["l", "r"]).select("doc_id", "sha", half.alias("n"), F.col("at").alias("pos"), "name"), f"op2-level{level}")
+        here = work.saved(pairs.join(names, ["l", "r"]).select("doc_id", "sha", half.alias("n"), F.col("at").alias("pos"), "name"), f"level{level}")
         done.append(here.filter("n = 1").select("doc_id", "sha", F.lit(level).alias("level"), "name"))
         open_ = here.filter("n > 1")
         most = (most + 1) // 2
@@ -97,24 +99,24 @@ def exact_dedup(docs: DataFrame, block_chars: int = 2048, hash_bits: int = 64) -
         ids = ids.select(F.col("doc_id").alias("_d"), F.col("sha").alias("_s"), "level", "name")
         many = heads.join(ids, heads.doc_id.eqNullSafe(ids._d) & (heads.sha == ids._s)).select("doc_id", "sha", "level", "name")
         rows = single.unionByName(many)
-    rows = saved(rows, "op2-identities")
-    groups = saved(rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "op2-groups")
-    drop(occ)
-    return rows.join(groups, ["level", "name"]).select(
+    rows = work.saved(rows, "identities")
+    groups = work.saved(rows.groupBy("level", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    out = rows.join(groups, ["level", "name"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+    return work.result(out, "op2-documents")
 
 
-def _by_text(named: DataFrame, blocks: DataFrame, distinct: DataFrame, clash: DataFrame, hashed) -> DataFrame:
+def _by_text(named: DataFrame, blocks: DataFrame, distinct: DataFrame, clash: DataFrame, hashed, total: int) -> DataFrame:
     """Names by text for the blocks whose hash stands for several texts. They are below zero."""
-    own = _named(distinct.join(clash, "h", "left_semi"), F.col("h"), ["h", "block"])
+    own = _named(distinct.join(clash, "h", "left_semi"), F.col("h"), ["h", "block"], total)
     own = own.select("h", "block", (-F.col("name")).alias("name"))
     again = blocks.withColumn("h", hashed(F.col("block"))).join(clash, "h", "left_semi")
     by_text = again.join(own, ["h", "block"]).select("doc_id", "sha", "n", "pos", "name")
     return named.filter(F.col("name").isNotNull()).select("doc_id", "sha", "n", "pos", "name").unionByName(by_text)
 
 
-def keep_one(docs: DataFrame, block_chars: int = 2048) -> DataFrame:
+def keep_one(docs: DataFrame, block_chars: int = 8192) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose document stays."""
     kept = exact_dedup(docs, block_chars).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     same = docs["doc_id"].eqNullSafe(kept["_kept_id"]) & (F.sha2(normalised(docs["text"]), 256) == kept["_kept_sha"])
