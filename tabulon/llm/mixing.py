@@ -1,31 +1,38 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
-Token weights of the cells (source, lang, topic) are raked until their marginals are the targets;
-a document is then sampled with the probability of its cell: the cell's weight by its tokens,
-scaled so that the largest probability is 1. In expectation the sampled tokens have the target
-marginals, as near as raking has come to them.
+Token weights of the cells (source, lang, topic) are raked until no marginal is further from its
+target than ``TOLERANCE``; a document is then sampled with the probability of its cell: the cell's
+weight by its tokens, scaled so that the largest probability is 1. In expectation the sampled
+tokens have the target marginals, as near as raking has come to them.
 
 Scale: documents are reduced to cells with a map-side sum before anything is shuffled, and the
-raking works on cells alone. Cells are broadcast to the documents if they are few, by a count;
-otherwise the join shuffles, and Spark splits a cell with many documents. Texts aren't shuffled
-in the first case, and are read once for the cells and once for the sample.
+raking works on cells alone. Up to ``FEW_CELLS`` cells, by a count, are raked in one partition
+without a shuffle and broadcast to the documents. More are raked by sums of each marginal, which
+are added up before they are shuffled and joined back to the cells; then the join to the documents
+shuffles too, and Spark splits a cell with many documents. Texts aren't shuffled in the first case,
+and are read once for the cells and once for the sample.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabulon.llm._store import saved
+from tabulon.llm._store import Scratch, free_name
 
 #: A marginal without given shares gets its tokens' shares to this power, normalised.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-ROUNDS = 12
-#: Rounds per written table: a longer plan only takes longer to plan.
-ROUNDS_PER_PLAN = 4
-#: Cells up to so many are broadcast (under 100 bytes each).
-BROADCAST_CELLS = 50_000
+#: Raking ends when every share of a marginal is off by this part of its target at most, or after
+#: so many rounds, with a warning: then the targets contradict each other or the empty cells.
+TOLERANCE = 1e-3
+MOST_ROUNDS = 400
+#: Rounds between two looks at the marginals.
+ROUNDS_PER_LOOK = 4
+#: Cells up to so many are raked in one partition and broadcast (under 100 bytes each).
+FEW_CELLS = 50_000
 #: Words from which a text counts as the next length class, where documents have no topic.
 LENGTHS = {"short": 0, "medium": 100, "long": 400, "very long": 1600}
 
@@ -42,47 +49,86 @@ def length_class(n: Column) -> Column:
     return out
 
 
-def _described(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns _tokens, _source, _lang and _topic; null counts as the value ''."""
-    out = docs.withColumn("_tokens", tokens(docs["text"]))
-    value = {c: F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("") for c in ("source", "lang")}
-    topic = F.coalesce(docs["topic"].cast("string"), F.lit("")) if "topic" in docs.columns else length_class(F.col("_tokens"))
-    return out.withColumns({"_source": value["source"], "_lang": value["lang"], "_topic": topic})
-
-
-def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None, total: float) -> DataFrame:
-    """(_dim, _want): what each value is to have, up to a factor that all share."""
-    column = f"_{dim}"
-    sums = cells.groupBy(column).agg(F.sum("tokens").alias("_t"))
-    if given is None:
-        want = F.pow(F.col("_t") / F.lit(total), F.lit(POWERS[dim]))
-    else:
-        pairs = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else None
-        want = F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(0.0)) if given else F.lit(0.0)
-    return sums.select(column, want.cast("double").alias(f"_want_{dim}"))
-
-
-def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(_source, _lang, _topic, tokens, docs, weight, probability) of each cell with tokens."""
-    targets = targets or {}
-    d = _described(docs)
-    cells = saved(d.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0"), "op7-cells")
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 1)
-    cur = cells.withColumn("weight", F.col("tokens") / F.lit(total))
+def _described(docs: DataFrame) -> Column:
+    """A struct of each row's tokens, source, lang and topic; null counts as the value ''."""
+    n = tokens(docs["text"])
+
+    def value(c: str) -> Column:
+        return F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
+
+    topic = value("topic") if "topic" in docs.columns else length_class(n)
+    return F.struct(n.alias("tokens"), value("source").alias("source"), value("lang").alias("lang"), topic.alias("topic"))
+
+
+def _with_targets(work: Scratch, cells: DataFrame, given: dict[str, dict[str, float]], few: bool) -> DataFrame:
+    """``cells`` with the share of each marginal that its value is to have, as want_source and so on."""
+    for dim in POWERS:
+        t = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("want"))
+        if dim in given:
+            shares = work.spark.createDataFrame([(k, float(v)) for k, v in given[dim].items()], f"{dim} string, want double")
+            t = t.select(dim).join(shares, dim, "left").select(dim, F.coalesce("want", F.lit(0.0)).alias("want"))
+            power = 1.0
+        else:
+            power = POWERS[dim]
+        t = work.saved(t, f"want-{dim}")
+        total = float(t.agg(F.sum("want")).first()[0] or 1)
+        t = t.withColumn("want", F.pow(F.col("want") / F.lit(total), F.lit(power)))
+        total = float(t.agg(F.sum("want")).first()[0] or 1)
+        t = t.select(dim, (F.col("want") / F.lit(total)).alias(f"want_{dim}"))
+        cells = cells.join(F.broadcast(t) if few else t, dim)
+    return work.saved(cells, "cells")
+
+
+def _round(work: Scratch, cur: DataFrame, few: bool) -> DataFrame:
+    """The cells with weights that are scaled to each marginal in turn."""
+    for dim in POWERS:
+        if few:
+            cur = cur.withColumn("have", F.sum("weight").over(Window.partitionBy(dim)))
+        else:
+            cur = work.saved(cur.join(cur.groupBy(dim).agg(F.sum("weight").alias("have")), dim), f"by-{dim}")
+        cur = cur.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"want_{dim}"), F.col("have")), F.lit(0.0))).drop("have")
+    return cur
+
+
+def _deviation(cur: DataFrame) -> float:
+    """The largest part of its target by which a share of a marginal is off."""
+    off = None
     for dim in POWERS:
-        cur = cur.join(_targets(cells, dim, targets.get(dim), total), f"_{dim}")
-    done = 0
-    while done < rounds:
-        for _ in range(min(ROUNDS_PER_PLAN, rounds - done)):
-            for dim in POWERS:
-                have = F.sum("weight").over(Window.partitionBy(f"_{dim}"))
-                cur = cur.withColumn("weight", F.coalesce(F.try_divide(F.col("weight") * F.col(f"_want_{dim}"), have), F.lit(0.0)))
-            done += 1
-        cur = saved(cur, "op7-raked")
+        have = cur.groupBy(dim).agg(F.sum("weight").alias("have"), F.max(f"want_{dim}").alias("want")).filter("want > 0")
+        own = have.select((F.abs(F.col("have") - F.col("want")) / F.col("want")).alias("off"))
+        off = own if off is None else off.unionAll(own)
+    return float(off.agg(F.max("off")).first()[0] or 0.0)
+
+
+def rake(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """(source, lang, topic, tokens, docs, weight, probability, deviation) of each cell with tokens.
+
+    ``deviation``, the same in each row, is the largest part of its target by which a share of a
+    marginal is off in the end. It is above ``tolerance`` only after ``most_rounds``, with a warning.
+    """
+    work = Scratch(docs.sparkSession, "op7")
+    d = docs.select(_described(docs).alias("d"))
+    cells = work.saved(d.groupBy("d.source", "d.lang", "d.topic").agg(F.sum("d.tokens").alias("tokens"), F.count("*").alias("docs")).filter("tokens > 0"), "counts")
+    n, total = cells.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(1))).first()
+    few = n <= FEW_CELLS
+    cells = cells.coalesce(1) if few else cells
+    cur = _with_targets(work, cells.withColumn("weight", F.col("tokens") / F.lit(float(total))), targets or {}, few)
+    rounds, off = 0, 0.0
+    while n:
+        for _ in range(ROUNDS_PER_LOOK):
+            cur = _round(work, cur.coalesce(1) if few else cur, few)
+        cur = work.saved(cur, "raked")
+        rounds, off = rounds + ROUNDS_PER_LOOK, _deviation(cur)
+        if off <= tolerance:
+            break
+        if rounds >= most_rounds:
+            warnings.warn(f"after {rounds} rounds a marginal is off by {off:.3g} of its target", stacklevel=2)
+            break
     per_token = F.col("weight") / F.col("tokens")
     weight, most = cur.agg(F.sum("weight"), F.max(per_token)).first()
     share = F.col("weight") / F.lit(weight) if weight else F.lit(0.0)
-    return cur.select("_source", "_lang", "_topic", "tokens", "docs", share.alias("weight"), (per_token / F.lit(most) if most else F.lit(0.0)).alias("probability"))
+    out = cur.select("source", "lang", "topic", "tokens", "docs", share.alias("weight"), (per_token / F.lit(most) if most else F.lit(0.0)).alias("probability"), F.lit(off).alias("deviation"))
+    return work.result(out, "op7-cells")
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -91,15 +137,19 @@ def draw(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def _with_probability(docs: DataFrame, targets, rounds: int, seed: int) -> DataFrame:
-    cells = rake(docs, targets, rounds).select("_source", "_lang", "_topic", "probability")
-    cells = cells.withColumnRenamed("probability", "_probability")
-    few = cells.count() <= BROADCAST_CELLS
-    out = _described(docs).join(F.broadcast(cells) if few else cells, ["_source", "_lang", "_topic"], "left")
-    return out.withColumn("_probability", F.coalesce("_probability", F.lit(0.0))).withColumn("_draw", draw(docs["doc_id"], seed))
+def _with_probability(docs: DataFrame, targets, tolerance: float, seed: int) -> tuple[DataFrame, str]:
+    """``docs`` with one more column, a struct of what is known of each row, and that column's name."""
+    cells = rake(docs, targets, tolerance)
+    few = cells.count() <= FEW_CELLS
+    own = free_name(docs.columns, "_mix")
+    p = cells.select(F.struct("source", "lang", "topic").alias(f"{own}_cell"), F.col("probability").alias(f"{own}_p"))
+    out = docs.withColumn(own, _described(docs))
+    out = out.join(F.broadcast(p) if few else p, F.struct(*[F.col(f"{own}.{c}") for c in POWERS]) == p[f"{own}_cell"], "left")
+    known = F.struct(f"{own}.*", F.coalesce(p[f"{own}_p"], F.lit(0.0)).alias("probability"), draw(docs["doc_id"], seed).alias("draw"))
+    return out.select(*[docs[c] for c in docs.columns], known.alias(own)), own
 
 
-def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, seed: int = 7) -> DataFrame:
     """Per row of ``docs``: doc_id, source, lang, topic, n_tokens, probability, sampled.
 
     ``targets`` gives shares of tokens by value for any of source, lang and topic; values not
@@ -108,43 +158,49 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rou
     it. Texts without words add no weight and share the probability of their cell; a cell
     without words isn't sampled. Rows that repeat a doc_id share its draw. Other columns aren't read; an empty table gives an empty result.
     """
-    got = _with_probability(docs.select([c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]), targets, rounds, seed)
+    got, own = _with_probability(docs.select([c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]), targets, tolerance, seed)
     return got.select(
         "doc_id",
-        F.col("_source").alias("source"),
-        F.col("_lang").alias("lang"),
-        F.col("_topic").alias("topic"),
-        F.col("_tokens").alias("n_tokens"),
-        F.round("_probability", 9).alias("probability"),
-        (F.col("_draw") < F.col("_probability")).alias("sampled"),
+        *[F.col(f"{own}.{c}").alias(c) for c in POWERS],
+        F.col(f"{own}.tokens").alias("n_tokens"),
+        F.round(f"{own}.probability", 9).alias("probability"),
+        (F.col(f"{own}.draw") < F.col(f"{own}.probability")).alias("sampled"),
     )
 
 
-def keep_sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS, seed: int = 7) -> DataFrame:
+def keep_sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tolerance: float = TOLERANCE, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the mix samples."""
-    return _with_probability(docs, targets, rounds, seed).filter(F.col("_draw") < F.col("_probability")).select(*[f"`{c}`" for c in docs.columns])
+    got, own = _with_probability(docs, targets, tolerance, seed)
+    return got.filter(F.col(f"{own}.draw") < F.col(f"{own}.probability")).drop(own)
 
 
-def mix_sql(table: str = "documents", rounds: int = ROUNDS, seed: int = 7) -> str:
+def mix_sql(table: str = "documents", tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS, seed: int = 7) -> str:
     """DuckDB SQL for the rows of ``mix`` with its default targets, for a table without a topic."""
     cases = " ".join(f"WHEN n >= {least} THEN '{name}'" for name, least in sorted(LENGTHS.items(), key=lambda x: -x[1]))
+    keys = ", ".join(POWERS)
     ctes = [
         rf"d0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM {table})",
         f"d AS (SELECT doc_id, source, lang, n, CASE {cases} END AS topic FROM d0)",
-        "c AS (SELECT source, lang, topic, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n) > 0)",
+        f"c AS (SELECT {keys}, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n) > 0)",
     ]
     for dim, power in POWERS.items():
         ctes.append(f"s_{dim} AS (SELECT {dim}, pow(sum(tokens) / (SELECT sum(tokens) FROM c), {power}) AS r FROM c GROUP BY {dim})")
-        ctes.append(f"w_{dim} AS (SELECT {dim}, r / sum(r) OVER () AS want FROM s_{dim})")
-    ctes.append("r0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c)")
-    k = 0
-    for _ in range(rounds):
+        ctes.append(f"w_{dim} AS (SELECT {dim}, r / sum(r) OVER () AS want_{dim} FROM s_{dim})")
+    wants = ", ".join(f"want_{dim}" for dim in POWERS)
+    joins = " ".join(f"JOIN w_{dim} USING ({dim})" for dim in POWERS)
+    step = "r"
+    for _ in range(ROUNDS_PER_LOOK):
         for dim in POWERS:
-            ctes.append(f"r{k + 1} AS MATERIALIZED (SELECT r.source, r.lang, r.topic, r.tokens, r.weight * t.want / sum(r.weight) OVER (PARTITION BY r.{dim}) AS weight FROM r{k} r JOIN w_{dim} t USING ({dim}))")
-            k += 1
-    ctes.append(f"p AS (SELECT source, lang, topic, weight / tokens / max(weight / tokens) OVER () AS p FROM r{k})")
+            step = f"(SELECT {keys}, tokens, {wants}, k, off, weight * want_{dim} / sum(weight) OVER (PARTITION BY k, {dim}) AS weight FROM {step} WHERE k < {most_rounds} AND off > {tolerance})"
+    off = "greatest(" + ", ".join(f"max(abs(sum_{dim} - want_{dim}) / want_{dim}) OVER ()" for dim in POWERS) + ")"
+    sums = ", ".join(f"sum(weight) OVER (PARTITION BY {dim}) AS sum_{dim}" for dim in POWERS)
+    ctes.append(
+        f"r AS (SELECT {keys}, tokens, {wants}, 0 AS k, CAST('infinity' AS DOUBLE) AS off, tokens / sum(tokens) OVER () AS weight FROM c {joins} "
+        f"UNION ALL SELECT {keys}, tokens, {wants}, k + {ROUNDS_PER_LOOK}, {off}, weight FROM (SELECT *, {sums} FROM {step}))"
+    )
+    ctes.append(f"p AS (SELECT {keys}, weight / tokens / max(weight / tokens) OVER () AS p FROM r WHERE k = (SELECT max(k) FROM r))")
     return (
-        "WITH " + ",\n".join(ctes) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n AS n_tokens, round(coalesce(p.p, 0), 9) AS probability, "
+        "WITH RECURSIVE " + ",\n".join(ctes) + f"\nSELECT d.doc_id, d.source, d.lang, d.topic, d.n AS n_tokens, round(coalesce(p.p, 0), 9) AS probability, "
         f"CAST('0x' || substr(md5('{seed}:' || d.doc_id), 1, 13) AS BIGINT) / 4503599627370496.0 < coalesce(p.p, 0) AS sampled "
         "FROM d LEFT JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.topic"
     )

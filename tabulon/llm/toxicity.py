@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tabulon.llm import _words
 from tabulon.llm._bpe import portions
-from tabulon.llm._store import map_arrow
+from tabulon.llm._store import give_back, map_arrow
 
 #: Bounds of the training sample: rows of each class, and bytes of a text.
 PER_CLASS = 3000
@@ -244,16 +244,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
     texts = docs.filter(F.octet_length("text") <= MAX_BYTES).select("doc_id", "text", lang)
     got = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id", "text"]).orderBy("doc_id").select("text", "toxic", "lang").collect()
-    return train([r.text for r in got], np.array([r.toxic for r in got]), [r.lang for r in got])
+    model = train([r.text for r in got], np.array([r.toxic for r in got]), [r.lang for r in got])
+    del got
+    give_back()  # the sample and the optimiser's state
+    return model
 
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            got = [model.scores(texts[lo:hi]) for lo, hi in portions([t or "" for t in texts])]
-            score = np.concatenate(got) if got else np.zeros(0)
-            cut = np.array([model.thresholds.get(x or "", 0.5) for x in batch.column("lang").to_pylist()])
+            score, cut = _batch_scores(model, batch), _cuts(model, batch)
             cols = [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32)), pa.array(cut, pa.float64()), pa.array(score >= cut)]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted", "threshold", "flagged"])
 
@@ -275,19 +275,25 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the model doesn't flag by language."""
-    table = F.create_map(*[F.lit(x) for kv in (model.thresholds or {"": 0.5}).items() for x in kv])
-    names = docs.columns
-    lang = docs["lang"] if "lang" in names else F.lit(None).cast("string")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs.withColumn("_cut", F.coalesce(F.try_element_at(table, F.coalesce(lang, F.lit(""))), F.lit(0.5))), _keep(model, names), schema)
+    return map_arrow(docs, _keep(model), schema)
+
+
+def _cuts(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    """Each row's threshold."""
+    langs = batch.column("lang").to_pylist() if "lang" in batch.schema.names else [None] * batch.num_rows
+    return np.array([model.thresholds.get(x or "", 0.5) for x in langs], dtype=np.float64)
+
+
+def _batch_scores(model: Model, batch: pa.RecordBatch) -> np.ndarray:
+    texts = batch.column("text").to_pylist()
+    got = [model.scores(texts[lo:hi]) for lo, hi in portions([t or "" for t in texts])]
+    return np.concatenate(got) if got else np.zeros(0)
 
 
-def _keep(model: Model, names: list[str]):
+def _keep(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            got = [model.scores(texts[lo:hi]) for lo, hi in portions([t or "" for t in texts])]
-            flagged = (np.concatenate(got) if got else np.zeros(0)) >= batch.column("_cut").to_numpy()
-            yield batch.select(names).filter(pa.array(~flagged))
+            yield batch.filter(pa.array(_batch_scores(model, batch) < _cuts(model, batch)))
 
     return run

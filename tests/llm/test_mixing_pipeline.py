@@ -1,11 +1,13 @@
 import subprocess
 import sys
 
+import numpy as np
 import pytest
 from compare import DATA, ROOT, connect, same
+from pyspark.sql import functions as F
 from test_dedup import brute_components, norm
 
-from tabulon.llm import mixing, queries
+from tabulon.llm import exact_dedup, jaccard_join, mixing, queries, toxicity
 
 
 def test_marginals_reach_their_targets(spark):
@@ -16,11 +18,53 @@ def test_marginals_reach_their_targets(spark):
     for dim, power in mixing.POWERS.items():
         have, tokens = {}, {}
         for c in cells:
-            have[c[f"_{dim}"]] = have.get(c[f"_{dim}"], 0) + c.weight
-            tokens[c[f"_{dim}"]] = tokens.get(c[f"_{dim}"], 0) + c.tokens
+            have[c[dim]] = have.get(c[dim], 0) + c.weight
+            tokens[c[dim]] = tokens.get(c[dim], 0) + c.tokens
         want = {k: (t / total) ** power for k, t in tokens.items()}
         norm_ = sum(want.values())
-        assert all(abs(have[k] - w / norm_) < 0.01 for k, w in want.items()), dim
+        assert all(abs(have[k] * norm_ / w - 1) <= mixing.TOLERANCE + 1e-9 for k, w in want.items()), dim
+    assert {c.deviation for c in cells} == {cells[0].deviation} and cells[0].deviation <= mixing.TOLERANCE
+
+
+def sparse(docs_of, n):
+    """Sources that are mostly of one language each, for which raking takes many rounds."""
+    docs = docs_of([(i, "word " * (1 + i % 7)) for i in range(n)])
+    source = F.concat(F.lit("s"), F.pmod("doc_id", F.lit(max(3, n // 10))).cast("string"))
+    lang = F.concat(F.lit("l"), F.when(F.pmod(F.xxhash64("doc_id"), F.lit(9)) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(source), F.lit(4))).cast("string"))
+    return docs.withColumn("source", source).withColumn("lang", lang)
+
+
+def test_many_cells_are_raked_as_few_are(docs_of, monkeypatch):
+    docs = sparse(docs_of, 400)
+    few = {(r.source, r.lang, r.topic): r for r in mixing.rake(docs).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    many = {(r.source, r.lang, r.topic): r for r in mixing.rake(docs).collect()}
+    assert few.keys() == many.keys() and all(abs(few[k].probability - many[k].probability) < 1e-9 for k in few)
+    assert max(r.deviation for r in many.values()) <= mixing.TOLERANCE
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 400 and all(abs(r.probability - few[r.source, r.lang, r.topic].probability) < 1e-8 for r in rows)
+
+
+def test_targets_that_contradict_the_cells_warn(docs_of):
+    docs = docs_of([(i, "a b") for i in range(9)]).withColumn("lang", F.col("source"))
+    targets = {"source": {"src0": 0.5, "src1": 0.5}, "lang": {"src0": 0.9, "src1": 0.1}}
+    with pytest.warns(UserWarning, match="off by"):
+        assert mixing.rake(docs, targets, most_rounds=8).first().deviation > 0.1
+
+
+def test_columns_that_clash_with_helpers(spark, docs_of):
+    names = ["_mix", "_mix_cell", "_mix_p", "_draw", "_tokens", "_source", "_lang", "_topic", "_probability", "_cut", "_norm", "_kept_id", "_kept_sha", "sha", "node", "token", "fp", "n", "level", "name", "probability", "tokens", "threshold", "flagged"]
+    docs = docs_of([(i, f"one two three {i % 40}") for i in range(60)])
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(k))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    model = toxicity.train(["bad word"] * 30 + ["good word"] * 30, np.array([1] * 30 + [0] * 30), ["en"] * 60)
+    for keep in (mixing.keep_sampled, exact_dedup.keep_one, jaccard_join.keep_one, lambda d: toxicity.keep_clean(d, model)):
+        got = keep(docs)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and {r.doc_id for r in rows} == {r.doc_id for r in keep(plain).collect()}
+        assert all([r[c] for c in names] == list(range(len(names))) for r in rows)
 
 
 def test_given_targets(spark, docs_of):
