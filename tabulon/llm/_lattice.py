@@ -54,6 +54,13 @@ class Lattice:
             if p and not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.automaton.add_word(p, (len(p), self.scores[i], i))
         self.automaton.make_automaton()
+        self.ids_at = ahocorasick.Automaton(ahocorasick.STORE_INTS)  # of the same pieces, with their ids alone
+        for p, (_, _, i) in self.automaton.items():
+            self.ids_at.add_word(p, i)
+        self.ids_at.make_automaton()
+        self.chars = np.array([len(p) for p in self.pieces], dtype=np.int64)
+        self.score_of = np.array(self.scores)
+        self.apart = next(c for c in map(chr, range(0xE000)) if c not in set("".join(self.automaton.keys())))
         as_bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.pieces)]
         self.piece_size = np.array([len(x) for x in as_bytes], dtype=np.int64)
         self.piece_start = np.cumsum(self.piece_size) - self.piece_size
@@ -159,40 +166,137 @@ class Lattice:
             at -= size_of[at]
         return ids[::-1], score[n], gap
 
+    def best_of_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What ``best`` gives for each word with its space mark: all ids in one array, and each word's
+        number of ids, score, and loss of the second best.
+
+        The automaton runs over all words at once, with a character between them that is in no piece;
+        the dynamic program takes one position of every word at a time. Words that hold that character,
+        or whose best segmentation has an unknown one, go by ``best``.
+        """
+        m, least = len(words), float("-inf")
+        text = self.apart.join(SPACE_MARK + w for w in words)
+        size = np.fromiter(map(len, words), np.int64, m) + 1
+        first = np.cumsum(size + 1) - size - 1  # of each word, in the text and as its place before the first character
+        found = np.fromiter(self.ids_at.iter(text), dtype=[("last", np.int32), ("id", np.int32)])
+        ids = found["id"].astype(np.int64)
+        to = found["last"].astype(np.int64) + 1
+        own = np.searchsorted(first, to - 1, side="right") - 1
+        at = (to - first[own]).astype(np.int16)
+        order = np.argsort(at, kind="stable")  # by position; then by word, longest first, as they were found
+        at, to, own, ids = at[order], to[order], own[order], ids[order]
+        chars, scores = self.chars[ids], self.score_of[ids]
+        levels = np.searchsorted(at, np.arange(int(size.max()) + 2))
+        alone = np.zeros(len(text) + 1, dtype=bool)
+        alone[to[chars == 1]] = True
+        ends = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + 1
+        ends = ends[~alone[ends]]
+        depth = (ends - first[np.searchsorted(first, ends - 1, side="right") - 1]).astype(np.int16)
+        order = np.argsort(depth, kind="stable")
+        ends, unknown_levels = ends[order], np.searchsorted(depth[order], np.arange(int(size.max()) + 2))
+        score = np.full(len(text) + 1, least)
+        score[first] = 0
+        second, via = np.full(len(text) + 1, least), np.full(len(text) + 1, -1, dtype=np.int64)
+        for p in range(1, int(size.max()) + 1):
+            lo, hi = levels[p], levels[p + 1]
+            if hi > lo:
+                total = score[to[lo:hi] - chars[lo:hi]] + scores[lo:hi]
+                group = np.flatnonzero(np.concatenate(([True], to[lo + 1 : hi] != to[lo : hi - 1])))
+                top = np.maximum.reduceat(total, group)
+                of = np.repeat(np.arange(len(group)), np.diff(np.append(group, hi - lo)))
+                tops = np.flatnonzero(total == top[of])
+                pick = tops[np.concatenate(([True], of[tops][1:] != of[tops][:-1]))]
+                here = to[lo + pick]
+                score[here], via[here] = top, ids[lo + pick]
+                total[pick] = least
+                second[here] = np.maximum.reduceat(total, group)
+            here = ends[unknown_levels[p] : unknown_levels[p + 1]]
+            if len(here):
+                total, top = score[here - 1] + self.unknown_score, score[here]
+                better = total > top
+                second[here] = np.where(better, top, np.maximum(second[here], total))
+                score[here] = np.maximum(top, total)
+                via[here[better]] = -1
+        place, gap, steps, odd = first + size, np.full(m, np.inf), [], np.array([self.apart in w for w in words])
+        going = np.flatnonzero(~odd)
+        while len(going):
+            now = place[going]
+            gap[going] = np.minimum(gap[going], score[now] - second[now])
+            piece = via[now]
+            odd[going[piece < 0]] = True
+            going, now, piece = going[piece >= 0], now[piece >= 0], piece[piece >= 0]
+            steps.append((going, piece))
+            place[going] = now - self.chars[piece]
+            going = going[place[going] > first[going]]
+        counts = np.zeros(m, dtype=np.int64)
+        for rows, _ in steps:
+            counts[rows] += 1
+        strange = {int(k): self.best(SPACE_MARK + words[k]) for k in np.flatnonzero(odd)}
+        for k, got in strange.items():
+            counts[k], gap[k] = len(got[0]), got[2]
+        stop = np.cumsum(counts)
+        out = np.zeros(int(stop[-1]) if m else 0, dtype=np.int32)
+        for k, (rows, piece) in enumerate(steps):
+            fine = ~odd[rows]
+            out[stop[rows[fine]] - 1 - k] = piece[fine]
+        total = score[first + size]
+        for k, got in strange.items():
+            out[stop[k] - counts[k] : stop[k]], total[k] = got[0], got[1]
+        return out, counts, total, gap
+
     def nbest(self, word: str, n: int) -> list[Path]:
-        """The n best segmentations by a dynamic program over the n best ways to each position.
+        """The n best segmentations by a backward A-star search over the lattice.
 
-        Of equal scores, the one with the longer last piece comes first, then the one with the
-        longer piece before, and so on. A way is its last piece and the number of the way before
-        it, so time and memory grow with the word's length.
+        Forward Viterbi scores are exact heuristics of what lies before a position. Of equal scores,
+        the segmentation with the longer last piece comes first, then the one with the longer piece
+        before, and so on; the open ways are kept in that order. Each of them leads to a segmentation
+        of its own score, so no more are kept than are still wanted. A way is its first piece and the
+        number of the way that follows, so time and memory grow with the word's length.
         """
         text = SPACE_MARK + word
         length = len(text)
-        score, ways = array("d", bytes(8 * n * (length + 1))), array("i", bytes(4 * (length + 1)))
-        piece, size_of, before = (array("i", bytes(4 * n * (length + 1))) for _ in range(3))
-        ways[0], at, edges = 1, 1, []
+        sizes, ids, at = array("i"), array("i"), array("i", [0, 0])  # the edges into each position, longest first
+        best, end, top, single = array("d", [0.0]), 1, float("-inf"), False
         for last, (size, x, i) in chain(self.automaton.iter(text), ((length, (0, 0.0, -1)),)):
-            while at <= last:  # the edges that end here are complete, longest first
-                if not edges or edges[-1][0] != 1:
-                    edges.append((1, self.unknown_score, -1))
-                got = [(-(score[(at - e[0]) * n + j] + e[1]), k, j) for k, e in enumerate(edges) for j in range(ways[at - e[0]])]
-                got.sort()
-                ways[at] = min(n, len(got))
-                for to, (less, k, j) in enumerate(got[:n], at * n):
-                    score[to], piece[to], size_of[to], before[to] = -less, edges[k][2], edges[k][0], j
-                at, edges = at + 1, []
-            edges.append((size, x, i))
-        out: list[Path] = []
-        for rank in range(ways[length]):
-            at, way, ids = length, rank, []
-            while at:
-                own = at * n + way
-                if piece[own] >= 0:
-                    ids.append(piece[own])
-                else:
-                    ids += self._unknown(text[at - 1])[::-1]
-                at, way = at - size_of[own], before[own]
-            out.append(Path(score[length * n + rank], tuple(ids[::-1])))
+            while end <= last:  # the edges into this position are complete
+                if not single:
+                    sizes.append(1)
+                    ids.append(-1)
+                    top = max(top, best[end - 1] + self.unknown_score)
+                best.append(top)
+                at.append(len(sizes))
+                end, top, single = end + 1, float("-inf"), False
+            if not size:
+                break
+            sizes.append(size)
+            ids.append(i)
+            top, single = max(top, best[end - size] + x), size == 1
+        first, follows = array("i"), array("i")
+        ways, out = [(best[length], length, 0.0, -1, 0)], []  # (score of its best completion, position, own score, way that follows, piece)
+        while ways and len(out) < n:
+            k = max(range(len(ways)), key=lambda w: ways[w][0])
+            score, pos, own, after, piece = ways.pop(k)
+            if pos < length:
+                first.append(piece)
+                follows.append(after)
+                after = len(first) - 1
+            if not pos:
+                got, here = [], 0
+                while after >= 0:
+                    i = first[after]
+                    got += (i,) if i >= 0 else self._unknown(text[here])
+                    here += len(self.pieces[i]) if i >= 0 else 1
+                    after = follows[after]
+                out.append(Path(score, tuple(got)))
+                continue
+            more = []
+            for e in range(at[pos], at[pos + 1]):
+                i, start = ids[e], pos - sizes[e]
+                total = own + (self.scores[i] if i >= 0 else self.unknown_score)
+                more.append((best[start] + total, start, total, after, i))
+            ways[k:k] = more
+            while len(ways) > n - len(out):
+                del ways[min(range(len(ways) - 1, -1, -1), key=lambda w: ways[w][0])]
         return out
 
     def decode(self, ids: np.ndarray) -> str:

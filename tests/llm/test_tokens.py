@@ -156,7 +156,7 @@ def test_nbest_of_a_text(lat, text):
 
 
 @pytest.mark.parametrize("text", ["x" * 1_000_000, "漢字" * 500_000, "item one\n".replace(" ", "") * 120_000])
-def test_a_long_text_without_spaces(lat, text):
+def test_a_long_text_without_spaces(lat, text, monkeypatch):
     seg = sp_nbest.Segmenter(lat)
     (words, rows), = seg.encode([text])
     best = lat.best("▁" + text)
@@ -179,3 +179,19 @@ def test_token_tables(spark, docs_of, lat):
         assert counts[r.doc_id] == (r.n_ids, r.score) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
         assert sorted(r.nbest_scores, reverse=True) == r.nbest_scores
     assert counts[2] == (0, 0.0) and unigram_count.count_tokens(docs_of([]), PIECES).count() == 0 == sp_nbest.encode(docs_of([]), PIECES).count()
+
+
+def test_words_together_are_as_words_alone():
+    lat, rng = _lattice.lattice(PIECES), random.Random(21)
+    words = ["".join(rng.choice("abcdeiouthé.,\n漢😀x" + lat.apart) for _ in range(rng.choice([0, 1, 2, 5, 12, 70]))) for _ in range(600)]
+    ids, sizes, score, gap = lat.best_of_all(words)
+    ends = np.cumsum(sizes)
+    for k, w in enumerate(words):
+        assert (ids[ends[k] - sizes[k] : ends[k]].tolist(), score[k], gap[k]) == lat.best("▁" + w)
+    seg = sp_nbest.Segmenter(lat, cache=50)  # words are forgotten and learned again
+    for _ in range(4):
+        rng.shuffle(words)
+        for some in (words[:90], words[90:200], [" ".join(words[200:400])]):
+            for text, (own, rows) in zip(some, seg.encode(some), strict=True):
+                assert seg.ids(rows).tolist() == [i for w in lat.words(text) for i in lat.best("▁" + w)[0]]
+                assert own == lat.words(text) and seg.ok[rows].all()
