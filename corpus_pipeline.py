@@ -37,7 +37,7 @@ def sample_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the best segmentation of each text, and the scores of the n best."""
-    return sp_nbest.encode(docs, tokenizer_file("piece_bpe_32k.model")).drop("decoded")
+    return sp_nbest.encode(docs, tokenizer_file("piece_bpe_32k.model"), decoded=False)
 
 
 STAGES = [
