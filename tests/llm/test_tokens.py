@@ -164,7 +164,7 @@ def test_a_long_text_without_spaces(lat, text, monkeypatch):
     second = [best[1] - best[2]] if np.isfinite(best[2]) else []  # a text may have one segmentation only
     assert scores[:2] == [best[1], *second] and best[1] == seg.score[rows[0]] and scores == sorted(scores, reverse=True)
     assert lat.decode(seg.ids(rows)) == text
-    seg.used = sp_nbest.POOL + 1  # what is remembered is bounded by ids, too
+    monkeypatch.setattr(sp_nbest, "POOL", 100)  # what is remembered is bounded by ids, too
     seg.encode(["a b"])
     assert len(seg.at) == 2
 
