@@ -83,7 +83,11 @@ class CachedEncoder:
     def _ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these keys in one array, and how many each has. Those without white space
         are encoded as one text, with line feeds between, which are one id each."""
-        alone = np.array([k[:1] == "\0" or k.split() != [k] for k in keys], dtype=bool)
+        every = "\n".join(keys)
+        if _OTHER_SPACE.search(every) or " " in every or every.count("\n") >= len(keys):
+            alone = np.array([k[:1] == "\0" or k.split() != [k] for k in keys], dtype=bool)
+        else:
+            alone = np.array([k[:1] == "\0" or not k for k in keys], dtype=bool)
         plain, rest = [k for k, x in zip(keys, alone, strict=True) if not x], [k for k, x in zip(keys, alone, strict=True) if x]
         got = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([_raw(k) for k in rest], add_special_tokens=False)]
         sizes = np.zeros(len(keys), dtype=np.int64)

@@ -7,11 +7,12 @@ lists for each block where its words and escapes begin, so blocks are decoded in
 all at once in numpy.
 
 A file is a run of frames, each followed by one line feed, written by Spark's text writer to any
-file system that Spark knows. A frame holds whole documents in ascending order of doc_id; files
-follow each other in the order of their names.
+file system that Spark knows. A frame holds whole documents in ascending order of doc_id, and says
+which task wrote it and as its which frame; that, and no file name, is their order.
 
 Scale: one range shuffle by doc_id; a task streams its sorted documents and holds one frame at a
-time. Where a file begins in the sequence of all ids is a running sum over one row per file.
+time. Where a frame begins in the sequence of all ids is a running sum over one row per task, and
+over the frames of each task.
 """
 
 from __future__ import annotations
@@ -22,31 +23,54 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabulon.llm import _bpe
 from tabulon.llm._store import map_arrow, saved
 
-#: Selector: (ids in a word, bits of each). Selectors not listed aren't used.
+#: Selector: (ids in a word, bits of each). Selector 14 holds anything.
 LAYOUTS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8), 9: (6, 10), 10: (5, 12), 11: (4, 15), 12: (3, 20), 13: (2, 30), 14: (1, 60)}
 #: Widths below this many bits keep their highest value as the escape.
 ESCAPED_BELOW = 20
-MOST_ESCAPES = 1
-#: Selectors tried when packing; 14 holds anything.
-PACKED_WITH = (12, 11, 10, 9, 7)
+MOST_ESCAPES = 3
 BLOCK = 256
 FRAME_IDS = 1 << 20
 FRAMES_PER_FILE = 32
-MAGIC = b"S8B1"
-_HEADER = struct.Struct("<4sIQIIIQ")
+MAGIC = b"S8B2"
+_HEADER = struct.Struct("<4sIIIQIIIQ")
 
 
 def _limit(bits: int) -> int:
     return (1 << bits) - (bits < ESCAPED_BELOW)
 
 
+def _spare(sel: int) -> int:
+    """Escapes that a word may have."""
+    return min(MOST_ESCAPES, LAYOUTS[sel][0] // 2) if LAYOUTS[sel][1] < ESCAPED_BELOW else 0
+
+
+def _fitting(ids: np.ndarray) -> list[int]:
+    """The selectors that some full word of these ids could have, of the wide ones the narrowest that
+    holds all. Words at the end of a block that hold fewer ids than their selector says gain nothing
+    from another one."""
+    most = int(ids.max())
+    widest = next(s for s in (12, 13, 14) if s == 14 or most < _limit(LAYOUTS[s][1]))
+    out, at = [widest], np.arange(len(ids), dtype=np.int32)
+    for sel in range(widest - 1, 0, -1):
+        limit = np.uint32(_limit(LAYOUTS[sel][1]))
+        at = at[ids[at] < limit] if len(at) < len(ids) else np.flatnonzero(ids < limit).astype(np.int32)
+        count, apart = LAYOUTS[sel][0], LAYOUTS[sel][0] - _spare(sel) - 1  # so many that fit come after the first one in a word
+        for part in (at[:50_000], at):
+            if len(part) > apart and (part[apart:] - part[: len(part) - apart] < count).any():
+                out.append(sel)
+                break
+    return out
+
+
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, escapes, first word of each block, first escape of each block); the last two end with the totals."""
     n = len(ids)
@@ -54,12 +78,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         zero = np.zeros(1, np.uint32)
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), zero, zero
     ids = ids.astype(np.uint32, copy=False)
-    tried = np.array((14, *PACKED_WITH), dtype=np.uint8)
+    tried = np.array(_fitting(ids), dtype=np.uint8)
     wide = np.zeros((len(tried), n + 1), dtype=np.int32)  # how many of the ids before are too wide for a layout
-    for k, sel in enumerate(PACKED_WITH, 1):
+    for k, sel in enumerate(tried.tolist()[1:], 1):
         np.cumsum(ids >= np.uint32(_limit(LAYOUTS[sel][1])), out=wide[k, 1:])
     count = np.array([LAYOUTS[int(s)][0] for s in tried])[:, None]
-    spare = np.array([MOST_ESCAPES if LAYOUTS[int(s)][1] < ESCAPED_BELOW else 0 for s in tried])[:, None]
+    spare = np.array([_spare(int(s)) for s in tried])[:, None]
     row = np.arange(len(tried))[:, None] * (n + 1)
     flat = wide.ravel()
     n_blocks = -(-n // BLOCK)
@@ -89,8 +113,8 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return words, ids[escape].astype(np.uint32), word_at, np.append(esc_total[starts], esc_total[-1]).astype(np.uint32)
 
 
-def frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """The bytes of one frame."""
+def frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, part: int = 0, nth: int = 0) -> bytes:
+    """The bytes of one frame, the nth of a task."""
     words, escapes, word_at, escape_at = pack(ids)
     body = b"".join(
         x.tobytes()
@@ -104,14 +128,14 @@ def frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> by
             escapes.astype("<u4"),
         )
     )
-    return _HEADER.pack(MAGIC, len(doc_ids), len(ids), len(word_at) - 1, len(words), len(escapes), len(body)) + body
+    return _HEADER.pack(MAGIC, part, nth, len(doc_ids), len(ids), len(word_at) - 1, len(words), len(escapes), len(body)) + body
 
 
-def frames(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """(doc ids, lengths, ids) of each frame of a file."""
+def frames(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray, int, int]]:
+    """(doc ids, lengths, ids, task, number in the task) of each frame of a file."""
     at = 0
     while at < len(data):
-        magic, n_docs, n_ids, n_blocks, n_words, n_escapes, size = _HEADER.unpack_from(data, at)
+        magic, part, nth, n_docs, n_ids, n_blocks, n_words, n_escapes, size = _HEADER.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError(f"no frame at byte {at}")
         at += _HEADER.size
@@ -120,7 +144,7 @@ def frames(data: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
             parts.append(np.frombuffer(data, dtype=kind, count=k, offset=p))
             p += parts[-1].nbytes
         there, doc_ids, lengths, word_at, escape_at, words, escapes = parts
-        yield [int(d) if ok else None for ok, d in zip(there, doc_ids, strict=True)], lengths.astype(np.int64), decode_blocks(words, escapes, word_at, escape_at, n_ids)
+        yield [int(d) if ok else None for ok, d in zip(there, doc_ids, strict=True)], lengths.astype(np.int64), decode_blocks(words, escapes, word_at, escape_at, n_ids), part, nth
         at += size + 1
 
 
@@ -159,12 +183,12 @@ def _encode(path: str, end_id: int, frame_ids: int, added: bool):
         docs: list[int | None] = []
         lengths: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        held = 0
+        held, nth, part = 0, 0, TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
-            nonlocal docs, lengths, ids, held
-            data = frame(docs, np.concatenate(lengths), np.concatenate(ids))
-            docs, lengths, ids, held = [], [], [], 0
+            nonlocal docs, lengths, ids, held, nth
+            data = frame(docs, np.concatenate(lengths), np.concatenate(ids), part, nth)
+            docs, lengths, ids, held, nth = [], [], [], 0, nth + 1
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["frame"])
 
         for batch in batches:
@@ -191,7 +215,10 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, fram
     Null texts count as empty; null ids come first; rows that repeat a doc_id are separate
     documents, in the order of their texts. Other columns aren't read. With ``added``, the string
     of an added token in a text gets its id, as by the library's default; else it is ordinary text.
+    The file format holds whole numbers as ids, so a doc_id of another type is an error at once.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = map_arrow(ordered, _encode(path, end_id, frame_ids, added), "frame binary")
     made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(to)
@@ -199,31 +226,29 @@ def write_token_files(docs: DataFrame, to: str, path: str, end_id: int = 2, fram
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
-            base, nth = 0, 0
-            for doc_ids, lengths, ids in frames(content.as_py()):
-                ends = np.cumsum(lengths)
+        for content in batch.column("content"):
+            for doc_ids, lengths, ids, part, nth in frames(content.as_py()):
+                n, ends = len(doc_ids), np.cumsum(lengths)
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(lengths.tolist(), ends.tolist(), strict=True)]
-                cols = [
-                    pa.array([path.as_py()] * len(doc_ids)),
-                    pa.array(doc_ids, pa.int64()),
-                    pa.array(base + ends - lengths, pa.int64()),
-                    pa.array(lengths, pa.int64()),
-                    pa.array(crc, pa.int64()),
-                ]
-                base, nth = base + int(ends[-1]), nth + 1
-                yield pa.RecordBatch.from_arrays(cols, ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+                cols = [pa.array(np.full(n, part)), pa.array(np.full(n, nth)), pa.array(doc_ids, pa.int64()), pa.array(ends - lengths), pa.array(lengths), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["part", "nth", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32.
 
-    ``start`` counts the ids of all documents before it in the order of files and frames.
+    ``start`` counts the ids of all documents before it in the order of tasks and their frames.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = saved(map_arrow(files, _decode, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"), "op10-read")
-    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("held"))
-    before = F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("file", F.coalesce(before, F.lit(0)).alias("before"))
-    return rows.join(starts, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = saved(map_arrow(files, _decode, "part long, nth long, doc_id long, at long, n_tokens long, ids_crc32 long"), "op10-read")
+    frames_ = rows.groupBy("part", "nth").agg(F.sum("n_tokens").alias("held"))
+    parts = frames_.groupBy("part").agg(F.sum("held").alias("held"))
+
+    def before(w: Window) -> Column:
+        return F.coalesce(F.sum("held").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = parts.select("part", before(Window.orderBy("part")).alias("before"))
+    starts = frames_.select("part", "nth", before(Window.partitionBy("part").orderBy("nth")).alias("within")).join(parts, "part")
+    out = rows.join(starts, ["part", "nth"])
+    return out.select("doc_id", (F.col("before") + F.col("within") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -41,7 +41,7 @@ def test_simple8b_round_trip(n, top):
     for k in range(len(word_at) - 1):  # each block alone
         got = simple8b.decode_blocks(words, escapes, word_at, escape_at, n, k, k + 1)
         assert (got == ids[k * simple8b.BLOCK : (k + 1) * simple8b.BLOCK]).all()
-    (d, lengths, back), = simple8b.frames(simple8b.frame([5, None], np.array([n, 0]), ids) + b"\n")
+    (d, lengths, back, _, _), = simple8b.frames(simple8b.frame([5, None], np.array([n, 0]), ids) + b"\n")
     assert d == [5, None] and lengths.tolist() == [n, 0] and (back == ids).all()
 
 
@@ -78,6 +78,26 @@ def test_the_query_encodes_as_the_library(spark, tmp_path):
     assert got[1] == (0, 5, zlib.crc32(np.array([505, 220, 50256, 734, 2], "<u4").tobytes())) and got[2][0] == 5
 
 
+def test_every_selector_is_used_where_it_fits():
+    for sel, (count, bits) in simple8b.LAYOUTS.items():
+        ids = np.full(count * 4, (1 << min(bits, 32)) - 1 - (bits < simple8b.ESCAPED_BELOW), dtype=np.uint32)
+        words = simple8b.pack(ids)[0]
+        assert len(words) == 4 and set((words & np.uint64(15)).tolist()) == {sel}
+    escaped = np.array([1, 2, 50_000, 3, 1, 2, 50_001, 3, 1, 2] * 6, dtype=np.uint32)  # two escapes in a word of many
+    assert len(simple8b.pack(escaped)[0]) <= 7
+
+
+def test_frames_follow_their_tasks_and_not_their_files(spark, tmp_path):
+    for name, part, nth, doc in (("z", 9, 0, 1), ("y", 10, 0, 2), ("x", 10, 1, 3), ("w", 100, 0, 4)):
+        (tmp_path / name).write_bytes(simple8b.frame([doc], np.array([3]), np.arange(3), part, nth) + b"\n")
+    assert {r.doc_id: r.start for r in simple8b.read_token_files(spark, str(tmp_path)).collect()} == {1: 0, 2: 3, 3: 6, 4: 9}
+
+
+def test_ids_that_the_files_cannot_hold(spark):
+    with pytest.raises(TypeError, match="whole number"):
+        simple8b.write_token_files(spark.createDataFrame([("a", "b")], "doc_id string, text string"), "nowhere", BPE)
+
+
 def test_token_files_odd_tables(spark, docs_of):
     for pairs in ([], [(None, "b"), (1, "a"), (1, "a"), (None, None)]):
         to = new_path(spark, "test-tokens")
