@@ -10,6 +10,7 @@ space; a piece that has none has ``\\0`` before it.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import islice
@@ -59,6 +60,10 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # what it would remember is remembered here
+            model = self.tokenizer.model
+            model._resize_cache(0)
+            self.tokenizer.model = model
         self.tokenizer.encode_special_tokens = not added
         tokens = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
         if self.tokenizer.normalizer is not None and tokens or any(t.lstrip or t.rstrip or t.single_word for t in tokens):
@@ -182,5 +187,6 @@ _encoders: dict[tuple[str, bool], CachedEncoder] = {}
 def encoder(path: str, added: bool = False) -> CachedEncoder:
     """The worker's encoder of that file; it outlives a task where Spark reuses workers."""
     if (path, added) not in _encoders:
+        gc.set_threshold(100_000)  # many strings and few cycles
         _encoders[path, added] = CachedEncoder(path, added=added)
     return _encoders[path, added]

@@ -37,6 +37,8 @@ LAYOUTS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6
 #: Widths below this many bits keep their highest value as the escape.
 ESCAPED_BELOW = 20
 MOST_ESCAPES = 3
+#: Selectors below this one are for runs of very small ids, which few blocks have.
+NARROW = 9
 BLOCK = 256
 FRAME_IDS = 1 << 20
 FRAMES_PER_FILE = 32
@@ -53,41 +55,40 @@ def _spare(sel: int) -> int:
     return min(MOST_ESCAPES, LAYOUTS[sel][0] // 2) if LAYOUTS[sel][1] < ESCAPED_BELOW else 0
 
 
-def _fitting(ids: np.ndarray) -> list[int]:
-    """The selectors that some full word of these ids could have, of the wide ones the narrowest that
-    holds all. Words at the end of a block that hold fewer ids than their selector says gain nothing
-    from another one."""
+def _fitting(ids: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
+    """(wide selectors, narrow selectors, blocks) that some full word of these ids could have: the
+    narrow ones only in those blocks. Of the widest ones only the first that holds all is needed.
+    Words at the end of a block that hold fewer ids than their selector says gain nothing from another one."""
     most = int(ids.max())
     widest = next(s for s in (12, 13, 14) if s == 14 or most < _limit(LAYOUTS[s][1]))
-    out, at = [widest], np.arange(len(ids), dtype=np.int32)
+    wide, narrow, blocks, at = [widest], [], np.zeros(-(-len(ids) // BLOCK), dtype=bool), np.arange(len(ids), dtype=np.int32)
     for sel in range(widest - 1, 0, -1):
         limit = np.uint32(_limit(LAYOUTS[sel][1]))
         at = at[ids[at] < limit] if len(at) < len(ids) else np.flatnonzero(ids < limit).astype(np.int32)
         count, apart = LAYOUTS[sel][0], LAYOUTS[sel][0] - _spare(sel) - 1  # so many that fit come after the first one in a word
-        for part in (at[:50_000], at):
-            if len(part) > apart and (part[apart:] - part[: len(part) - apart] < count).any():
-                out.append(sel)
-                break
-    return out
-
-
-def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(words, escapes, first word of each block, first escape of each block); the last two end with the totals."""
+        if len(at) <= apart:
+            continue
+        if sel >= NARROW:
+            wide.append(sel)
+        elif len(found := at[: len(at) - apart][at[apart:] - at[: len(at) - apart] < count]):
+            narrow.append(sel)
+            blocks[found // BLOCK] = True
+    return wide, narrow, blocks
+
+
+def _chosen(ids: np.ndarray, selectors: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """At the place of the first id of each word its selector, and how many ids it holds; 0 elsewhere."""
     n = len(ids)
-    if not n:
-        zero = np.zeros(1, np.uint32)
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), zero, zero
-    ids = ids.astype(np.uint32, copy=False)
-    tried = np.array(_fitting(ids), dtype=np.uint8)
+    tried = np.array(selectors, dtype=np.uint8)
     wide = np.zeros((len(tried), n + 1), dtype=np.int32)  # how many of the ids before are too wide for a layout
-    for k, sel in enumerate(tried.tolist()[1:], 1):
+    for k, sel in enumerate(selectors[1:], 1):
         np.cumsum(ids >= np.uint32(_limit(LAYOUTS[sel][1])), out=wide[k, 1:])
-    count = np.array([LAYOUTS[int(s)][0] for s in tried])[:, None]
-    spare = np.array([_spare(int(s)) for s in tried])[:, None]
+    count = np.array([LAYOUTS[s][0] for s in selectors])[:, None]
+    spare = np.array([_spare(s) for s in selectors])[:, None]
     row = np.arange(len(tried))[:, None] * (n + 1)
     flat = wide.ravel()
-    n_blocks = -(-n // BLOCK)
-    here, stop = np.arange(n_blocks) * BLOCK, np.minimum((np.arange(n_blocks) + 1) * BLOCK, n)
+    starts = np.arange(0, n, BLOCK)
+    here, stop = starts, np.minimum(starts + BLOCK, n)
     chosen, size = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.int64)
     while len(here):  # every block takes its next word at once
         held = np.minimum(count, stop - here)
@@ -99,18 +100,39 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
         here = here + took
         going = here < stop
         here, stop = here[going], stop[going]
+    return chosen, size
+
+
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, escapes, first word of each block, first escape of each block); the last two end with the totals."""
+    n = len(ids)
+    if not n:
+        zero = np.zeros(1, np.uint32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint32), zero, zero
+    ids = ids.astype(np.uint32, copy=False)
+    wide, narrow, blocks = _fitting(ids)
+    if blocks.any():  # blocks are packed apart from each other, so those with narrow words can be taken together
+        chosen, size = np.zeros(n, dtype=np.uint8), np.zeros(n, dtype=np.int64)
+        of = np.repeat(blocks, BLOCK)[:n]
+        for own, selectors in ((of, wide + narrow), (~of, wide)):
+            chosen[own], size[own] = _chosen(ids[own], selectors)
+    else:
+        chosen, size = _chosen(ids, wide)
+    n_blocks = len(blocks)
     first = np.flatnonzero(chosen)
     sels, sizes = chosen[first], size[first]
-    width = np.array([0, *(LAYOUTS[s][1] for s in range(1, 15))], dtype=np.uint8)[sels]
-    w = np.repeat(width.astype(np.uint64), sizes)
-    slot = (np.arange(n) - np.repeat(first, sizes)).astype(np.uint64)
-    top = (np.uint64(1) << w) - np.uint64(1)
-    escape = ids >= top + (w >= ESCAPED_BELOW)
-    words = np.bitwise_or.reduceat(np.where(escape, top, ids).astype(np.uint64, copy=False) << (np.uint64(4) + slot * w), first) | sels
+    bits = np.array([0, *(LAYOUTS[s][1] for s in range(1, 15))], dtype=np.uint8)[sels]
+    w = np.repeat(bits, sizes)
+    slot = np.arange(n) - np.repeat(first, sizes)
+    limit = np.array([0, *(_limit(LAYOUTS[s][1]) for s in range(1, 15))], dtype=np.uint64)[sels]
+    escape = ids >= np.repeat(limit, sizes)
+    held = ids.astype(np.uint64)
+    at = np.flatnonzero(escape)
+    held[at] = (np.uint64(1) << w[at].astype(np.uint64)) - np.uint64(1)
+    words = np.bitwise_or.reduceat(held << (slot * w + 4).astype(np.uint64), first) | sels
     starts = np.arange(n_blocks) * BLOCK
     word_at = np.append(np.searchsorted(first, starts), len(first)).astype(np.uint32)
-    esc_total = np.concatenate(([0], np.cumsum(escape)))
-    return words, ids[escape].astype(np.uint32), word_at, np.append(esc_total[starts], esc_total[-1]).astype(np.uint32)
+    return words, ids[at], word_at, np.append(np.searchsorted(at, starts), len(at)).astype(np.uint32)
 
 
 def frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, part: int = 0, nth: int = 0) -> bytes:
