@@ -70,7 +70,9 @@ class CachedEncoder:
             raise ValueError(f"{path} has added tokens that are more than their own strings")
         self.added = sorted((t.content for t in tokens), key=len, reverse=True)
         self._at_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")")
-        self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.opens = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, dtype=bool)  # tokens that begin with a space
+        self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
         self.cache = cache
         self._clear()
 
@@ -87,7 +89,7 @@ class CachedEncoder:
 
     def _ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these keys in one array, and how many each has. Those without white space
-        are encoded as one text, with line feeds between, which are one id each."""
+        are encoded as one text, in which a token that begins with a space begins the next key."""
         every = "\n".join(keys)
         if _OTHER_SPACE.search(every) or " " in every or every.count("\n") >= len(keys):
             alone = np.array([k[:1] == "\0" or k.split() != [k] for k in keys], dtype=bool)
@@ -99,14 +101,14 @@ class CachedEncoder:
         sizes[alone] = [len(x) for x in got]
         if not plain:
             return np.concatenate(got) if got else np.zeros(0, np.uint32), sizes
-        joined = self.tokenizer.encode_batch_fast([" " + "\n ".join(plain)], add_special_tokens=False)[0].ids
+        joined = self.tokenizer.encode_batch_fast([" " + " ".join(plain)], add_special_tokens=False)[0].ids
         joined = np.fromiter(joined, np.uint32, len(joined))
-        cut = np.flatnonzero(joined == self.line_feed)
-        sizes[~alone] = np.diff(np.concatenate(([-1], cut, [len(joined)]))) - 1
+        sizes[~alone] = np.diff(np.append(np.flatnonzero(self.opens[joined]), len(joined)))
+        if not len(got):
+            return joined, sizes
         out = np.zeros(int(sizes.sum()), dtype=np.uint32)
         of_rest = np.repeat(alone, sizes)
-        out[of_rest] = np.concatenate(got) if got else 0
-        out[~of_rest] = np.delete(joined, cut)
+        out[of_rest], out[~of_rest] = np.concatenate(got), joined
         return out, sizes
 
     def _learn(self, keys: list[str]) -> None:

@@ -94,6 +94,10 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 def give_back() -> None:
     """Return freed memory to the system."""
     gc.collect()
+    _trim()
+
+
+def _trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -107,7 +111,7 @@ class _Released:
 
     def __call__(self, batches):
         yield from self.run(batches)
-        give_back()
+        _trim()
 
 
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
