@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from tabulon.functions import keys, text
 from tabulon.functions.json_text import array_text
 from tabulon.operators import fulltext as fts
+from tabulon.operators import match_text
 from tabulon.operators import mutations as mut
 from tabulon.operators.predicates import Columns, raw
-from tabulon.plans import sqlapi
-from tabulon.plans.entities import table
+from tabulon.plans import sqlapi, versions
+from tabulon.plans.entities import KEYS, table
 from tabulon.schema import Entity, Field
 from tabulon.sources import files
 from tabulon.streaming import cdc, sync
@@ -450,7 +451,14 @@ def q42_sql_params(spark, d):
     return s.text(" GROUP BY ").column("o_orderstatus").run(spark)
 
 
-@registered()
+_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz", "DATE": "date", "FLOAT[]": "array<float>", "DOUBLE[]": "array<double>", "BOOLEAN": "boolean", "SMALLINT": "smallint", "TINYINT": "tinyint", "FLOAT": "float"}
+_TYPE = "CASE data_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _TYPES.items()) + " ELSE data_type END"
+
+
+@registered(
+    f"""SELECT 'q43_' || table_name AS "table", column_name AS "column", CAST(ordinal_position - 1 AS INTEGER) AS position, {_TYPE} AS type, true AS nullable
+    FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in KEYS)})"""
+)
 def q43_schema_catalog(spark, d):
     names = [r.name.removesuffix(".parquet") for r in files.listing(spark, d).filter(F.col("name").endswith(".parquet")).collect()]
     for t in names:
@@ -499,7 +507,7 @@ def q48_token_count(spark, d):
 
 # Logs
 
-_LOG = f"SELECT event_id + 1 AS seq, 'event' AS entity_type, CAST(user_id AS VARCHAR) AS sync_key, {_OPS} AS operation, props AS payload, epoch_ms(ts) AS created_at FROM events"
+_LOG = f"SELECT event_id + 1 AS seq, 'event' AS entity_type, CAST(user_id AS VARCHAR) AS sync_key, {_OPS} AS operation, props AS payload, epoch_us(ts) // 1000 AS created_at FROM events"
 
 
 def _log(spark, d):
@@ -546,11 +554,155 @@ def q53_relation_by_link_table(spark, d):
     return links.join(suppliers, links.l_suppkey == suppliers.s_suppkey).join(parts, links.l_partkey == parts.p_partkey).select("s_suppkey", "p_brand").distinct()
 
 
-@registered()
+#: Words with the stem "thing".
+_THINGS = "thing(s|e|es|ed|eds|ing|ings|ful|fuls|ness|nesses|fulness|fully)?"
+
+
+@registered(f"SELECT doc_id FROM documents WHERE regexp_matches({_DOC}, ' {_THINGS} ')")
 def q54_fts_porter(spark, d):
     return table(spark, d, "documents").search("things", "documents_stem").select("doc_id").dataframe()
 
 
+@registered(_BM25.replace("x = 'was'", "starts_with(x, 'thing')") + "SELECT doc_id, round(rank, 9) AS rank FROM r WHERE a > 0 OR b > 0")
+def q55_fts_prefix_rank(spark, d):
+    q = table(spark, d, "documents")
+    ranked = fts.with_rank(q.df, q.df, q.entity, fts.Prefix("thing") | fts.Term("from"), "documents_fts")
+    return ranked.filter("rank is not null").select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+@registered(_BM25 + "SELECT doc_id, round(rank, 9) AS rank FROM r WHERE a > 0 OR b > 0")
+def q56_fts_index_bm25(spark, d):
+    q = table(spark, d, "documents")
+    posts, lengths = fts.postings(q.df, q.entity, "documents_fts"), fts.row_lengths(q.df, q.entity, "documents_fts")
+    found = fts.find(posts, lengths, q.entity, fts.Term("was") | fts.Term("from"), "documents_fts")
+    return found.select("doc_id", F.round("rank", 9).alias("rank"))
+
+
+@registered(f"SELECT doc_id FROM documents WHERE (contains({_DOC}, ' of the ') OR contains({_DOC}, ' thing')) AND NOT contains({_DOC}, ' from ')")
+def q57_fts_match_text(spark, d):
+    m = match_text.parse('("of the" OR text: thing*) NOT from', ["text"])
+    return table(spark, d, "documents").matching(m, "documents_fts").select("doc_id").dataframe()
+
+
+# Rows by key
+
+
+@registered("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, 'NEW', n_regionkey FROM nation WHERE n_regionkey = 1")
+def q58_insert(spark, d):
+    q = table(spark, d, "nation")
+    new = q.df.filter("n_regionkey = 1").withColumns({"n_nationkey": F.col("n_nationkey") + 100, "n_name": F.lit("NEW")})
+    return mut.insert(q.entity, q.df, new)
+
+
+@registered("SELECT s_suppkey, s_nationkey, round(CASE WHEN s_nationkey = 3 THEN -s_acctbal ELSE s_acctbal END, 4) AS s_acctbal FROM supplier WHERE s_nationkey <> 4")
+def q59_update_and_delete_rows(spark, d):
+    q = table(spark, d, "supplier")
+    turned = q.df.filter("s_nationkey = 3").withColumn("s_acctbal", -F.col("s_acctbal"))
+    new = mut.delete(q.entity, mut.update(q.entity, q.df, turned), q.df.filter("s_nationkey = 4").select("s_suppkey"))
+    return new.select("s_suppkey", "s_nationkey", F.round("s_acctbal", 4).alias("s_acctbal"))
+
+
+@registered("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (3, 5) ORDER BY n_nationkey % 2, n_nationkey DESC")
+def q60_where_in_order_sql(spark, d):
+    q = table(spark, d, "nation").where("n_nationkey", is_in=[3, 5, 99])
+    return q.order_sql("n_nationkey % 2").order_sql("n_nationkey", ascending=False).select("n_nationkey", "n_name").dataframe()
+
+
+@registered("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def q61_by_id(spark, d):
+    return table(spark, d, "nation").by_id(7).select("n_nationkey", "n_name").dataframe()
+
+
+@registered("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'none' AS note FROM events")
+def q62_decode_with_defaults(spark, d):
+    e = Entity("event", [Field("event_id", T.LongType()), Field("k", T.LongType(), True), Field("note", T.StringType(), default="none")], ["event_id"], timestamps=False)
+    doc = F.concat(F.lit('{"event_id":'), F.col("event_id"), F.lit(","), F.substring("props", 2, 1 << 20))
+    return e.from_json(spark.read.parquet(f"{d}/events.parquet").select(doc.alias("j")), "j")
+
+
+# Logs and records
+
+
+@registered("SELECT c_custkey, 'insert' AS operation, c_acctbal FROM customer WHERE c_nationkey <> 5")
+def q63_bootstrap(spark, d):
+    df = spark.read.parquet(f"{d}/customer.parquet").withColumn("updated_at", F.lit(0).cast("timestamp"))
+    fields = [Field(f.name, f.dataType, f.name != "c_custkey") for f in df.schema.fields]
+    made = cdc.bootstrap_events(df, Entity("customer", fields, ["c_custkey"], timestamps=False), df.filter("c_nationkey = 5"))
+    return made.select("c_custkey", "operation", F.col("row.c_acctbal").alias("c_acctbal"))
+
+
+def _records(spark, d, where, version):
+    e = spark.read.parquet(f"{d}/events.parquet").filter(where)
+    key = F.concat(F.col("user_id"), F.lit(":"), F.col("event_type"))
+    newest = e.groupBy(key.alias("sync_key")).agg(F.max("event_id").alias("event_id"), F.max_by("props", "event_id").alias("payload"))
+    return newest.select(F.lit("event").alias("entity_type"), "sync_key", F.expr(version).alias("version_ms"), F.lit(False).alias("deleted"), "payload")
+
+
+_RECORDS = "SELECT user_id || ':' || event_type AS sync_key, max(event_id) AS event_id, arg_max(props, event_id) AS payload FROM events WHERE {} GROUP BY 1"
+
+
+@registered(
+    f"""WITH s AS (SELECT *, event_id % 7 AS v FROM ({_RECORDS.format("user_id % 3 <> 0")})), n AS (SELECT *, event_id % 5 AS v FROM ({_RECORDS.format("user_id % 2 = 0")}))
+    SELECT n.sync_key, CASE WHEN s.v IS NULL OR n.v > s.v THEN 'apply' WHEN n.v < s.v THEN 'stale' ELSE 'same' END AS effect FROM n LEFT JOIN s ON n.sync_key = s.sync_key"""
+)
+def q64_effects(spark, d):
+    state = _records(spark, d, "user_id % 3 <> 0", "event_id % 7")
+    return sync.effects(state, _records(spark, d, "user_id % 2 = 0", "event_id % 5")).select("sync_key", "effect")
+
+
+@registered(f"SELECT sync_key, event_id AS version_ms FROM ({_RECORDS.format('user_id % 2 = 0')})")
+def q65_checked_page(spark, d):
+    page = _records(spark, d, "user_id % 2 = 0", "event_id").withColumn("schema_version", F.lit(3))
+    local = page.limit(0).withColumn("entity_type", F.lit("draft")).unionByName(page.withColumns({"entity_type": F.lit("draft"), "payload": F.lit("no json")}))
+    return sync.check_page(page.unionByName(local), 3, ("draft",)).select("sync_key", "version_ms")
+
+
+@registered(
+    f"""WITH b AS (SELECT sync_key, max(seq) AS seq FROM ({_LOG}) WHERE seq <= 300 GROUP BY 1), r AS (SELECT sync_key, min(seq) AS seq FROM ({_LOG}) WHERE seq <= 600 GROUP BY 1)
+    SELECT r.sync_key, r.seq, CASE WHEN b.seq IS NULL THEN 'not in the batch' ELSE 'older than what was sent' END AS reason FROM r LEFT JOIN b USING (sync_key) WHERE b.seq IS NULL OR r.seq < b.seq"""
+)
+def q66_receipts(spark, d):
+    log = _log(spark, d)
+    sent = log.filter("seq <= 300").groupBy("entity_type", "sync_key").agg(F.max("seq").alias("seq"))
+    got = log.filter("seq <= 600").groupBy("entity_type", "sync_key").agg(F.min("seq").alias("seq"))
+    return sync.check_receipts(sent, got).select("sync_key", "seq", "reason")
+
+
+@registered(f"SELECT seq, CAST(CASE WHEN operation = 'delete' OR seq % 3 = 0 THEN created_at ELSE seq + 0.5 END AS DOUBLE) AS at FROM ({_LOG})")
+def q67_effective_time(spark, d):
+    said = F.when(F.col("seq") % 3 == 0, F.lit("no json")).otherwise(F.concat(F.lit('{"updated_at": '), F.col("seq"), F.lit(".5}")))
+    return _log(spark, d).select("seq", cdc.effective_time(F.col("operation"), said, F.col("created_at").cast("double")).alias("at"))
+
+
+@registered(
+    """SELECT l_orderkey, l_linenumber, '02' || '01' || array_to_string(list_transform(range(8), lambda i: printf('%02X', (l_orderkey >> CAST(8 * i AS BIGINT)) & 255)), '')
+    || '01' || array_to_string(list_transform(range(8), lambda i: printf('%02X', (CAST(l_linenumber AS BIGINT) >> CAST(8 * i AS BIGINT)) & 255)), '') AS key FROM lineitem WHERE l_quantity > 45"""
+)
+def q68_key_bytes(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 45")
+    return lines.select("l_orderkey", "l_linenumber", F.hex(keys.key_bytes(F.col("l_orderkey"), F.col("l_linenumber"))).alias("key"))
+
+
+# Schemas
+
+
+@registered("SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS note, CAST(5 AS BIGINT) AS nations FROM region")
+def q69_migrations(spark, d):
+    region = spark.read.parquet(f"{d}/region.parquet").select("r_regionkey", "r_name")
+    first = T.StructType(region.schema.fields)
+    second = T.StructType([*first.fields, T.StructField("note", T.StringType())])
+    third = T.StructType([*second.fields, T.StructField("nations", T.LongType(), False)])
+    steps = [
+        versions.Migration("001_regions", {"region": first}, lambda t: {"region": region}),
+        versions.Migration("002_note", {"region": second}, lambda t: {"region": t["region"].withColumn("note", F.lit(None).cast("string"))}),
+        versions.Migration("003_nations", {"region": third}, lambda t: {"region": t["region"].withColumn("nations", F.lit(5).cast("long"))}),
+    ]
+    tables, history = versions.migrate({"region": region}, steps, versions.adopt({"region": region}, steps[0], []))
+    if history != [s.name for s in versions.pending(steps, [])] or versions.drift(third_schema := {"region": third}, tables, nullability=True):
+        raise AssertionError(f"{history} doesn't end in {third_schema}")
+    return tables["region"]
+
+
 def queries() -> dict[str, Maker]:
     return dict(_queries)
 

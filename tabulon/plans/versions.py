@@ -8,6 +8,7 @@ that is read. One writer at a time is assumed. All paths go through Spark's writ
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -59,14 +60,20 @@ def same_schema(a: Mapping[str, T.StructType], b: Mapping[str, T.StructType]) ->
     return canonical_json(a) == canonical_json(b)
 
 
-def drift(expected: Mapping[str, T.StructType], tables: Mapping[str, DataFrame]) -> list[str]:
-    """How the tables differ from the schemas; empty if they don't. Metadata doesn't count."""
+def drift(expected: Mapping[str, T.StructType], tables: Mapping[str, DataFrame], nullability: bool = False) -> list[str]:
+    """How the tables differ from the schemas; empty if they don't. Metadata doesn't count.
+
+    With ``nullability``, so does a column that may be null where none is expected. Tables read from
+    Parquet say that of every column; ``mutations.violations`` looks at their values.
+    """
     out = [f"{t} is missing" for t in sorted(set(expected) - set(tables))] + [f"{t} isn't expected" for t in sorted(set(tables) - set(expected))]
     for t in sorted(set(expected) & set(tables)):
         want = [(f.name, f.dataType.simpleString()) for f in expected[t].fields]
         have = [(f.name, f.dataType.simpleString()) for f in tables[t].schema.fields]
         if want != have:
             out.append(f"{t}: expected {want}, found {have}")
+        elif nullability:
+            out += [f"{t}.{f.name} may be null" for f, own in zip(expected[t].fields, tables[t].schema.fields, strict=True) if own.nullable and not f.nullable]
     return out
 
 
@@ -100,6 +107,19 @@ class Migration:
     check: Callable[[dict[str, DataFrame]], list[str]] | None = None
 
 
+def in_order(names: Iterable[str]) -> list[str]:
+    """Migration names by the number that each begins with, of any length; an error without one, or with the same one twice."""
+    numbered = {}
+    for name in names:
+        m = re.match(r"[0-9]+", name)
+        if not m:
+            raise MigrationError(f"{name!r} doesn't begin with a number")
+        if (n := int(m[0])) in numbered:
+            raise MigrationError(f"{name!r} and {numbered[n]!r} have the same number")
+        numbered[n] = name
+    return [numbered[n] for n in sorted(numbered)]
+
+
 def pending(migrations: list[Migration], applied: list[str]) -> list[Migration]:
     """What is still to run; an error if the history isn't a prefix of the catalogue."""
     names = [m.name for m in migrations]

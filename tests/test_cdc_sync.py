@@ -134,6 +134,17 @@ def test_versions_and_migrations(spark, tmp_path):
     assert versions.canonical_json({"b": a, "a": a}).index('"a"') < versions.canonical_json({"b": a, "a": a}).index('"b"')
 
 
+def test_nullability_and_the_order_of_migrations(spark):
+    want = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("n", T.StringType())])
+    df = spark.createDataFrame([(1, "x")], "id long, n string")
+    assert versions.drift({"t": want}, {"t": df}) == [] and versions.drift({"t": want}, {"t": df}, nullability=True) == ["t.id may be null"]
+    assert versions.drift({"t": want}, {"t": spark.range(1).withColumn("n", F.lit("x"))}, nullability=True) == []
+    assert versions.in_order(["10_c", "9_b", "0001_a"]) == ["0001_a", "9_b", "10_c"]
+    for bad in (["a"], ["1_a", "01_b"]):
+        with pytest.raises(MigrationError):
+            versions.in_order(bad)
+
+
 def test_keys_and_names(spark):
     for parts in (["a@b"], [1, "x"], [b"0" * 16, b"12", 1.5]):
         assert keys.decode_key(keys.encode_key(parts)) == parts

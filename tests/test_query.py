@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from tabulon.errors import ConstraintViolation, EntityNotFound, InvalidSchema, QueryFailed, ReadOnlyViolation
 from tabulon.operators import fulltext as fts
+from tabulon.operators import match_text
 from tabulon.operators import mutations as mut
 from tabulon.operators.predicates import Columns, key_in, raw, sql_literal
 from tabulon.operators.query import query
@@ -155,6 +156,80 @@ def test_postings_follow_changes(spark):
     assert [r.id for r in fts.find_terms(after, e, ["a", "b"]).collect()] == [1]
 
 
+DOC = Entity("d", [Field("id", L), Field("t", S, True), Field("u", S, True)], ["id"], timestamps=False, indexes=[FullTextIndex(("t", "u")), FullTextIndex(("t",), "p", "porter")])
+DOCS = [(1, "swift swift and more words", "x"), (2, "Swiftly he goes", "swift"), (3, None, None), (4, "he, the swifter: more", "words more"), (5, "Éclair things", "a b a b a")]
+MATCHES = [
+    fts.Term("swift"), fts.Prefix("swi"), fts.Prefix("more wo"), fts.Phrase("swift and more"), fts.Phrase("b a b"), fts.First("swift"), fts.FirstPrefix("swi"), fts.Near("swift", "words", 2), fts.Near("he", "more", 1),
+    fts.In(fts.Term("swift"), ("u",)), fts.In(fts.Prefix("swi"), ("t",)) | fts.Term("eclair"), fts.Term("more") - fts.Term("he"), (fts.Term("more") & fts.Prefix("w")) | fts.First("ecl"), fts.Phrase(" ,"),
+]
+
+
+@pytest.mark.parametrize("match", MATCHES, ids=str)
+def test_stored_index_finds_and_ranks_as_texts_do(spark, match):
+    df = spark.createDataFrame(DOCS, "id long, t string, u string")
+    posts, lengths = fts.postings(df, DOC, "d_fts"), fts.row_lengths(df, DOC, "d_fts")
+    want = {r.id: r.rank for r in fts.with_rank(df, df, DOC, match, "d_fts", (2.0,)).filter("rank is not null").collect()}
+    got = {r.id: r.rank for r in fts.find(posts, lengths, DOC, match, "d_fts", (2.0,)).collect()}
+    assert got.keys() == want.keys() == {r.id for r in fts.matching(df, DOC, match, "d_fts").collect()}
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want) and all(x < 0 for x in want.values())
+
+
+def test_prefixes_rank(spark):
+    df = spark.createDataFrame([(1, "swiss cheese", ""), (2, "other swift swim swish", ""), (3, "nothing", ""), (4, "no", ""), (5, "none", "")], "id long, t string, u string")
+    q = query(DOC, df)
+    m = fts.Prefix("swi") | fts.Term("other")
+    assert [r.id for r in q.matching(m, "d_fts").order_by_rank(m, "d_fts").all()] == [2, 1]
+
+
+def test_porter_terms_and_candidates(spark):
+    df = spark.createDataFrame([(1, "hopping happily", ""), (2, "relational things", ""), (3, "sensibility of the thing", ""), (4, "hoping", "")], "id long, t string, u string")
+    posts = fts.postings(df, DOC, "p")
+    assert sorted(r.id for r in fts.find_terms(posts, DOC, ["things"], index="p").collect()) == [2, 3]
+    for word, ids in (("relation", [2]), ("real", []), ("happily", [1]), ("hop", [1]), ("hope", [4]), ("sensible", [3]), ("thing", [2, 3])):
+        assert sorted(r.id for r in query(DOC, df).search(word, "p").all()) == ids, word
+    assert sorted(r.id for r in fts.find(posts, fts.row_lengths(df, DOC, "p"), DOC, fts.Term("things") - fts.Term("relate"), "p").collect()) == [3]
+
+
+def test_lengths_follow_changes(spark):
+    old = spark.createDataFrame(DOCS, "id long, t string, u string")
+    new = spark.createDataFrame([*DOCS[1:], (9, "one two", None)], "id long, t string, u string")
+    after = fts.refreshed_lengths(fts.row_lengths(old, DOC, "d_fts"), old, new, DOC, "d_fts")
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, fts.row_lengths(new, DOC, "d_fts").collect()))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("swift", fts.Phrase("swift")),
+        ('"a ""b"" c"', fts.Phrase('a "b" c')),
+        ("swi*", fts.Prefix("swi")),
+        ('"more wo" *', fts.Prefix("more wo")),
+        ("^ one + two*", fts.FirstPrefix("one two")),
+        ("^one", fts.First("one")),
+        ("a b", fts.Phrase("a") & fts.Phrase("b")),
+        ("a OR b AND c NOT d", fts.Phrase("a") | (fts.Phrase("b") & (fts.Phrase("c") - fts.Phrase("d")))),
+        ("(a OR b) c", (fts.Phrase("a") | fts.Phrase("b")) & fts.Phrase("c")),
+        ("t : a", fts.In(fts.Phrase("a"), ("t",))),
+        ("t: swi* OR other", fts.In(fts.Prefix("swi"), ("t",)) | fts.Phrase("other")),
+        ("{t U}: (a b)", fts.In(fts.Phrase("a") & fts.Phrase("b"), ("t", "u"))),
+        ("- t : a", fts.In(fts.Phrase("a"), ("u",))),
+        ('NEAR(a "b c", 3)', fts.Near("a", "b c", 3)),
+        ("NEAR(a b)", fts.Near("a", "b", 10)),
+        ("  ", fts.Phrase("")),
+        ("not or near", fts.Phrase("not") & fts.Phrase("or") & fts.Phrase("near")),
+        ("été", fts.Phrase("été")),
+    ],
+)
+def test_match_text(text, want):
+    assert match_text.parse(text, ("t", "u")) == want
+
+
+@pytest.mark.parametrize("text", ['"a', "a OR", "AND a", "(a", "a)", "a AND OR b", "x: a", "t:", "NEAR(a b", "NEAR(a b, c)", "a +", "*", "a NOT", "{t a", "a ; b", "- t a"])
+def test_malformed_match_text(text):
+    with pytest.raises(QueryFailed):
+        match_text.parse(text, ("t", "u"))
+
+
 def test_update_and_delete(people):
     q = query(USER, people)
     hit = q.filter(lambda c: c.age >= 23)
