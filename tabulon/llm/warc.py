@@ -6,8 +6,10 @@ revisit records that refer to it.
 
 The reader checks every record: its version line, its headers, its length, what follows it, and
 its digests. Where a check fails it goes on at the next version line or gzip member from which a
-valid record follows, and logs the bytes between as a quarantined gap. Files are read by Spark,
-one row each; the writer bounds their size by a number of records.
+valid record follows, and logs the bytes between as a quarantined gap. Within a gzip member it does
+the same over what the member inflates to, up to where that fails. Files are read by Spark, one row
+each; the writer bounds their size: pages of a size class are written by themselves, so many to a
+file that it stays below ``FILE_BYTES``, or one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,11 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ID_PREFIX = "urn:tabulon:page:"
 DATE = "2024-01-01T00:00:00Z"
 RECORDS_PER_FILE = 2000
+#: Bytes of payloads that a file holds at most, but for a file of one record; and the size classes of payloads.
+FILE_BYTES = 64 << 20
+CLASSES = (32 << 10, 256 << 10, 2 << 20, 16 << 20)
+#: Bytes that are inflated at a time.
+STEP = 1 << 16
 #: Digests of repeated payloads up to so many are broadcast (about 50 bytes each).
 BROADCAST_DIGESTS = 100_000
 
@@ -77,7 +84,16 @@ def write_pages(pages: DataFrame, to: str, min_bytes: int = 0, records_per_file:
         F.lit("\r\n\r\n"),
         F.col("block"),
     )
-    p.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).text(to)
+    upper = F.lit(None).cast("long")
+    for size in reversed(CLASSES):
+        upper = F.when(F.col("bytes") <= size, size).otherwise(upper)
+    p = p.withColumn("_upper", upper)
+    there = pages.select(F.octet_length("html").cast("long").alias("bytes")).select(F.coalesce("bytes", F.lit(0)).alias("bytes")).select(upper.alias("_upper")).distinct()
+    out = p.select("_upper", record.alias("value"))
+    for c in [r[0] for r in there.collect()] or [CLASSES[0]]:  # a few classes
+        most = min(records_per_file, max(1, FILE_BYTES // c)) if c else 1
+        own = out.filter(F.col("_upper").eqNullSafe(F.lit(c))).select("value")
+        own.write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(to)
 
 
 class Record(NamedTuple):
@@ -98,6 +114,15 @@ def _digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _agrees(stated: str, data: bytes) -> bool:
+    """Whether a digest, in base32 or hexadecimal of either case, is that of the data. Other algorithms than SHA-1 aren't checked."""
+    kind, _, value = stated.partition(":")
+    if kind.strip().lower() != "sha1":
+        return True
+    digest = hashlib.sha1(data)
+    return value.strip().lower() in (base64.b32encode(digest.digest()).decode().lower(), digest.hexdigest())
+
+
 def payload_of(record: Record) -> bytes:
     """The bytes after the HTTP header of a response, else the block."""
     if record.headers.get("warc-type") in ("response", "revisit") and record.block.startswith(b"HTTP/"):
@@ -111,14 +136,19 @@ def _plain(data: bytes, at: int) -> Record | str:
     if not line:
         return "no version line"
     headers: dict[str, str] = {}
-    begin = line.end()
+    begin, name = line.end(), ""
     while (stop := data.find(b"\r\n", begin)) != begin:  # up to an empty line, however long a header is
         if stop < 0:
             return "headers don't end"
+        if name and data[begin : begin + 1] in (b" ", b"\t"):  # the header before goes on here
+            headers[name] += " " + data[begin:stop].strip().decode("utf-8", "replace")
+            begin = stop + 2
+            continue
         colon = data.find(b":", begin, stop)
         if colon < 0:
             return "a header without a colon"
-        headers[data[begin:colon].strip().lower().decode("latin-1")] = data[colon + 1 : stop].strip().decode("utf-8", "replace")
+        name = data[begin:colon].strip().lower().decode("latin-1")
+        headers[name] = data[colon + 1 : stop].strip().decode("utf-8", "replace")
         begin = stop + 2
     size = headers.get("content-length", "")
     if not re.fullmatch(r"[0-9]{1,18}", size):
@@ -128,53 +158,85 @@ def _plain(data: bytes, at: int) -> Record | str:
     if data[end : end + 4] != b"\r\n\r\n":
         return "the block doesn't end where its length says"
     record = Record(at, end + 4, headers, data[begin:end])
-    stated = headers.get("warc-block-digest", "")
-    if stated.startswith("sha1:") and stated[5:] != _digest(record.block):
+    if not _agrees(headers.get("warc-block-digest", ""), record.block):
         return "the block's digest differs"
-    stated = headers.get("warc-payload-digest", "")
-    if headers.get("warc-type") == "response" and stated.startswith("sha1:") and stated[5:] != _digest(payload_of(record)):
+    if headers.get("warc-type") == "response" and not _agrees(headers.get("warc-payload-digest", ""), payload_of(record)):
         return "the payload's digest differs"
     return record
 
 
-def _member(data: bytes, at: int) -> list[Record] | str:
-    """The records of the gzip member that begins there, at the member's bytes, or what is wrong."""
-    gz = zlib.decompressobj(31)
-    try:
-        plain = gz.decompress(data[at:]) + gz.flush()
-    except zlib.error as e:
-        return f"gzip: {e}"
-    if not gz.eof:
-        return "the gzip member doesn't end"
-    end = len(data) - len(gz.unused_data)
-    out, p = [], 0
-    while p < len(plain):
-        got = _plain(plain, p)
-        if isinstance(got, str):
-            return got
-        out.append(got._replace(start=at, end=end))
-        p = got.end
-    return out or "an empty gzip member"
-
-
-def salvage(data: bytes) -> Iterator[Record]:
-    """All valid records of an archive, and its gaps, in order. Every byte belongs to one of them."""
+BREAKS_OFF = "the gzip member doesn't end"
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """(what the gzip member there inflates to, where it ends, "") or, if it is damaged, (what it inflates
+    to before that, where to look for the next one from, what is wrong)."""
+    gz, out, view, pos = zlib.decompressobj(31), [], memoryview(data), at
+    while pos < len(data):
+        step, before = view[pos : pos + STEP], gz.copy()
+        try:
+            out.append(gz.decompress(step))
+        except zlib.error as e:
+            for k in range(len(step)):  # up to the damage
+                try:
+                    out.append(before.decompress(step[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), max(pos, at + 1), f"gzip: {e}"
+        pos += len(step)
+        if gz.eof:
+            return b"".join(out), pos - len(gz.unused_data), ""
+    return b"".join(out), len(data), BREAKS_OFF
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record], int, str]:
+    """(valid records and gaps of the gzip member there, at the member's bytes; where to go on; what is wrong with it).
+
+    Of a member that breaks off, all records before that count. In one that is damaged the bytes after the
+    damage, and headers, may be wrong without a sign: only records before the first one that fails
+    count, with a block digest that agrees, and none if no record fails.
+    """
+    plain, end, wrong = _inflated(data, at)
+    found = []
+    for r in salvage(plain, member=True):
+        why = r.reason and f"bytes {r.start} to {r.end} of what the gzip member inflates to: {r.reason}"
+        found.append(r._replace(start=at, end=end, reason=why))
+    bad = next((k for k, r in enumerate(found) if r.reason), None)
+    if wrong and wrong != BREAKS_OFF:
+        found = [r for r in found[: bad or 0] if r.headers.get("warc-block-digest")]
+    elif wrong and found and found[-1].reason:
+        found.pop()  # what breaks off with the member
+    if all(r.reason for r in found):
+        return [], end, wrong or (found[0].reason if found else "an empty gzip member")
+    return found, end, wrong
+
+
+def salvage(data: bytes, member: bool = False) -> Iterator[Record]:
+    """All valid records of an archive, and its gaps, in order. Every byte belongs to one of them.
+
+    Gaps within a gzip member have the bytes of the member, and say where in it they are. With
+    ``member`` the data is what a gzip member inflates to.
+    """
     at, gap, reason = 0, -1, ""
+    begins = _VERSION_LINE if member else _NEXT
     while at < len(data):
-        got = _member(data, at) if data[at : at + 3] == b"\x1f\x8b\x08" else _plain(data, at)
-        if isinstance(got, str):
-            if gap < 0:
-                gap, reason = at, got
-            following = _NEXT.search(data, at + 1)
-            at = following.start() if following else len(data)
-            continue
-        if gap >= 0:
-            yield Record(gap, at, {}, b"", reason)
+        if not member and data[at : at + 3] == b"\x1f\x8b\x08":
+            found, stop, wrong = _member(data, at)
+        else:
+            got = _plain(data, at)
+            found, stop, wrong = ([got], got.end, "") if isinstance(got, Record) else ([], at + 1, got)
+        if found:
+            if 0 <= gap < at:
+                yield Record(gap, at, {}, b"", reason)
+            yield from found
             gap = -1
-        records = [got] if isinstance(got, Record) else got
-        yield from records
-        at = records[-1].end
-    if gap >= 0:
+        if wrong:
+            if gap < 0:
+                gap, reason = stop if found else at, wrong
+            following = begins.search(data, max(stop, at + 1) if found else at + 1)
+            stop = following.start() if following else len(data)
+        at = stop
+    if 0 <= gap < len(data):
         yield Record(gap, len(data), {}, b"", reason)
 
 

@@ -146,6 +146,8 @@ def test_salvage_of_gzipped_archives():
     found, gaps = ids(b"".join([*parts[:2], bytes(broken), *parts[3:]]))
     assert found == [0, 1, 3, 4] and gaps == [(at, at + len(broken))]
     found, gaps = ids(b"".join([*parts[:4], parts[4][:-5]]))
+    assert found == [0, 1, 2, 3, 4] and not gaps  # what it holds is whole
+    found, gaps = ids(b"".join([*parts[:4], parts[4][:-30]]))
     assert found == [0, 1, 2, 3] and len(gaps) == 1
     assert ids(b"") == ([], []) and ids(b"nothing here") == ([], [(0, 12)])
 
@@ -154,3 +156,61 @@ def test_gaps_are_logged_as_rows(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(record(0) + b"lost bytes" + record(1))
     rows = warc.read_archives(spark, str(tmp_path)).collect()
     assert [(r.start, r.end) for r in rows if r.gap] == [(len(record(0)), len(record(0)) + 10)] and sum(r.gap is None for r in rows) == 2
+
+
+def damaged(raw, at, size=1):
+    return raw[:at] + bytes(255 - b for b in raw[at : at + size]) + raw[at + size :]
+
+
+def test_a_bad_record_in_a_shared_member_costs_no_other():
+    bad = damaged(record(2), record(2).index(b"payload"))
+    data = gzip.compress(record(0) + record(1) + bad + record(3)) + gzip.compress(record(4))
+    assert ids(data)[0] == [0, 1, 3, 4]
+    gaps = [r for r in warc.salvage(data) if r.reason]
+    assert len(gaps) == 1 and "inflates to" in gaps[0].reason and (gaps[0].start, gaps[0].end) == (0, len(gzip.compress(record(0) + record(1) + bad + record(3))))
+
+
+def test_a_member_that_breaks_off_or_is_damaged():
+    rng = random.Random(4)
+    noise = [bytes(rng.randrange(256) for _ in range(3000)) for _ in range(6)]
+    raw = gzip.compress(b"".join(record(k, x) for k, x in enumerate(noise)))
+    assert ids(raw[:-12])[0][:5] == [*range(5)]
+    hurt = damaged(raw, 2 * len(raw) // 3, 40) + record(8) + gzip.compress(record(9))
+    found = list(warc.salvage(hurt))
+    got = [r.headers["warc-record-id"] for r in found if not r.reason]
+    assert got[:3] == ["<urn:0>", "<urn:1>", "<urn:2>"] and got[-2:] == ["<urn:8>", "<urn:9>"]
+    assert any(r.reason for r in found) and all(r.start < r.end for r in found)
+    assert [r.reason for r in warc.salvage(gzip.compress(b"nothing of the kind"))] and ids(gzip.compress(b"") + record(1))[0] == [1]
+
+
+def test_many_small_members_take_linear_time():
+    import time
+
+    one = gzip.compress(record(1, b"x" * 400), 1)
+    took = []
+    for n in (4000, 16000):
+        began = time.perf_counter()
+        assert sum(not r.reason for r in warc.salvage(one * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_digests_and_headers_of_every_legal_form():
+    block = b"HTTP/1.1 200 OK\r\n\r\nx"
+    sha = hashlib.sha1(block)
+    b32 = base64.b32encode(sha.digest()).decode()
+    for stated, fine in ((b32, True), (b32.lower(), True), (sha.hexdigest(), True), (sha.hexdigest().upper(), True), ("A" * 32, False)):
+        raw = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:1>\r\nX-Long: a\r\n b\r\n\tc\r\nWARC-Block-Digest: sha1:{stated}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+        found = list(warc.salvage(raw))
+        assert bool(found[0].reason) != fine, stated
+        assert not fine or found[0].headers["x-long"] == "a b c"
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    rows = [(i, "u", f"{i} " + "x" * (100 if i % 3 else 200_000 if i % 2 else 700_000)) for i in range(30)]
+    to = new_path(spark, "test-warc")
+    warc.write_pages(pages_of(spark, rows).coalesce(1), to)
+    sizes = [r.length for r in spark.read.format("binaryFile").load(to).select("length").collect()]
+    assert max(sizes) < 1.1 * (1 << 20) and len(sizes) > 5
+    assert sorted(r.payload_bytes for r in warc.read_archives(spark, to).collect()) == sorted(len(h) for _, _, h in rows)
