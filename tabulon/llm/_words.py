@@ -104,11 +104,6 @@ class Words:
     def __len__(self) -> int:
         return len(self.hashes)
 
-    def equal(self, i: int, j: int) -> bool:
-        """Whether two words have the same bytes."""
-        a, b = self.buf[self.starts[i] : self.ends[i]], self.buf[self.starts[j] : self.ends[j]]
-        return a.shape == b.shape and bool((a == b).all())
-
 
 def _one(buf: np.ndarray, table: np.ndarray, between: np.ndarray) -> Words:
     parts = []

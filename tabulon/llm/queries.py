@@ -163,4 +163,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op5_jaccard_links": OP5_LINKS_SQL, "op6_warc": OP6_SQL, "op7_mixing": mixing.mix_sql()}
+    return {"op1_repetition": repetition.repetition_sql(), "op2_exact_dedup": OP2_SQL, "op4_chat_format": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op5_jaccard_links": OP5_LINKS_SQL, "op6_warc": OP6_SQL, "op7_mixing": mixing.mix_sql()}

@@ -2,8 +2,9 @@
 
 For several lengths n, every window of n words has a rolling hash; windows whose hash was seen
 earlier in the text are repeats, and the characters of the words that they cover are measured.
-Windows with equal hashes are compared word by word, so the counts are exact. Runs of repeated
-n-grams only exist where shorter ones do, so most texts stop after the shortest length.
+Windows are told apart by 64 bits of hash, and those that agree also by the 64 bits of each of their
+words, not by the words' bytes. Runs of repeated n-grams only exist where shorter ones do, so most
+texts stop after the shortest length.
 
 Each row is computed alone, in batches of Arrow rows: nothing is shuffled.
 """
@@ -30,10 +31,10 @@ MIN_WORDS = 20
 BASE_WINDOW = 8
 BASE_SHARE = 30
 
-_CODE_POINT = np.ones(256, dtype=np.int64)
+_CODE_POINT = np.ones(256, dtype=np.uint8)
 _CODE_POINT[0x80:0xC0] = 0
-_SYMBOL = np.zeros(256, dtype=np.int64)
-_SYMBOL[list(SYMBOLS)] = 1
+_SYMBOL = np.zeros(256, dtype=bool)
+_SYMBOL[list(SYMBOLS)] = True
 
 
 def repeated_windows(w: _words.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def measure(text: bytes, w: _words.Words) -> dict:
     points = np.concatenate(([0], np.cumsum(_CODE_POINT[buf], dtype=np.int32))) if len(buf) else np.zeros(1, np.int32)
     chars = (points[w.ends] - points[w.starts]).astype(np.int64)
     total = int(chars.sum())
-    out = {"n_words": len(w), "word_chars": total, "n_symbols": int(_SYMBOL[buf].sum()) if len(buf) else 0}
+    out = {"n_words": len(w), "word_chars": total, "n_symbols": int(np.count_nonzero(_SYMBOL[buf]))}
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")]
     seen: set[bytes] = set()
     dup, dup_chars, line_chars = 0, 0, 0
@@ -127,3 +128,32 @@ def repetition(docs: DataFrame) -> DataFrame:
     kind = dict(docs.dtypes)["doc_id"]
     schema = ", ".join([f"doc_id {kind}", *(f"{k} long" for k in _LONGS), "base_failed boolean, kept boolean", *(f"{k} double" for k in _SHARES)])
     return map_arrow(docs.select("doc_id", "text"), _run, schema)
+
+
+def repetition_sql(table: str = "documents") -> str:
+    """DuckDB SQL for the rows of ``repetition``."""
+    every = sorted({*NGRAM_LIMITS, BASE_WINDOW})
+    ctes = [
+        rf"t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM {table})",
+        "w AS (SELECT id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM t)",
+        "l0 AS (SELECT id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k, unnest(string_split(text, chr(10))) AS line FROM t)",
+        r"l1 AS (SELECT id, length(line) AS chars, row_number() OVER (PARTITION BY id, line ORDER BY k) > 1 AS dup FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))",
+        "l AS (SELECT id, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(chars) FILTER (dup), 0) / sum(chars) AS dup_line_char_frac, count(*) FILTER (dup) / count(*) AS dup_line_frac FROM l1 GROUP BY id)",
+    ]
+    for n in every:
+        ctes += [
+            f"g{n} AS (SELECT id, unnest(range(1, len(ws) - {n - 2})) AS i, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS g FROM t WHERE len(ws) >= {n})",
+            f"r{n} AS (SELECT id, i, row_number() OVER (PARTITION BY id, g ORDER BY i) > 1 AS later, count(*) OVER (PARTITION BY id, g) > 1 AS again FROM g{n})",
+            f"c{n} AS (SELECT id, length(word) AS chars, max(later) OVER k AS later, max(again) OVER k AS again FROM w LEFT JOIN r{n} USING (id, i) WINDOW k AS (PARTITION BY id ORDER BY i ROWS {n - 1} PRECEDING))",
+            f"f{n} AS (SELECT id, coalesce(sum(chars) FILTER (later), 0) / sum(chars) AS frac, count(*) FILTER (again) AS words FROM c{n} GROUP BY id)",
+        ]
+    joins = " ".join(f"LEFT JOIN f{n} USING (id)" for n in every)
+    shares = ", ".join(f"coalesce(f{n}.frac, 0.0) AS dup_{n}gram_char_frac" for n in NGRAM_LIMITS)
+    ctes.append(
+        f"m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, "
+        rf"CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(f{BASE_WINDOW}.words, 0) AS n_repeat_words, "
+        f"coalesce(dup_line_char_frac, 0.0) AS dup_line_char_frac, coalesce(dup_line_frac, 0.0) AS dup_line_frac, {shares} FROM t LEFT JOIN l USING (id) {joins})"
+    )
+    ctes.append(f"b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {BASE_SHARE} * n_words AS base_failed FROM m)")
+    good = " AND ".join([f"dup_line_char_frac <= {LINE_CHARS_LIMIT}", f"dup_line_frac <= {LINES_LIMIT}", *(f"dup_{n}gram_char_frac <= {x}" for n, x in NGRAM_LIMITS.items())])
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT *, NOT base_failed AND {good} AS kept FROM b"

@@ -119,3 +119,95 @@ def test_toxicity_tables(spark, docs_of):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows if not r.flagged}
     assert toxicity.fit(docs, labels.limit(0)).scores(["x"])[0] < 0.01
+
+
+def naive_pooled(model, words):
+    """Largest activation of each filter over one text's words, word by word, and where it is."""
+    x = [model.tables[0][a] + model.tables[1][b] for a, b in toxicity._buckets(words).T]
+    value, where = [], []
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best, at = 0.0, -1
+            for i in range(len(x) - width + 1):
+                act = float(model.biases[k][f]) + sum(float(x[i + j] @ model.filters[k][j][:, f]) for j in range(width))
+                if act > best:
+                    best, at = act, i
+            value.append(best)
+            where.append(at)
+    return np.array(value), where
+
+
+def test_convolution_and_pooling_against_a_naive_model():
+    rng = np.random.default_rng(5)
+    hs = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (0, 1, 2, 3, 40, 7)]
+    model = toxicity._init(hs, np.array([0, 1, 0, 1, 0, 1]), rng)
+    model.biases = [rng.normal(0, 0.3, toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    model.training = True
+    sizes = np.array([len(h) for h in hs])
+    value, where = model.pooled(toxicity._buckets(np.concatenate(hs)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    for k, h in enumerate(hs):
+        want, at = naive_pooled(model, h)
+        assert np.allclose(value[k], want, atol=1e-5)
+        assert all(w < 0 or abs(value[k, c] - want[c]) < 1e-5 for c, w in enumerate(where[k])) and [(w - starts[k] if w >= 0 else -1) for w in where[k]] == at
+
+
+def test_gradients_against_finite_differences(monkeypatch):
+    rng = np.random.default_rng(6)
+    hs = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in (5, 9, 4)]
+    y = np.array([1.0, 0.0, 1.0])
+    model = toxicity._init(hs, y, rng)
+    model.tables = [t.astype(np.float64) for t in model.tables]
+    model.filters, model.biases = [f.astype(np.float64) for f in model.filters], [b.astype(np.float64) + 1.2 for b in model.biases]
+    model.out, model.training = model.out.astype(np.float64) + rng.normal(0, 0.3, len(model.out)), True
+    got = {}
+    monkeypatch.setattr(toxicity._Adam, "step", lambda self, key, w, g, rows=None: got.__setitem__(key, (g, rows)))
+    toxicity._epoch(model, toxicity._Adam(0.1), hs, y, np.arange(3))
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+
+    def loss():
+        total = 0.0
+        for h, label, w in zip(hs, y, weight, strict=True):
+            z = naive_pooled(model, h)[0] @ model.out[:-1] + model.out[-1]
+            total += w * (np.log1p(np.exp(z)) - label * z) / 3
+        return total
+
+    def slope(a, at, eps=1e-5):
+        old = a[at]
+        a[at] = old + eps
+        up = loss()
+        a[at] = old - eps
+        down = loss()
+        a[at] = old
+        return (up - down) / (2 * eps)
+
+    for k in range(len(toxicity.WIDTHS)):
+        for at in ((0, 0, 0), (k, 3, 5)):
+            assert abs(got[f"f{k}"][0][at] - 1e-4 * model.filters[k][at] - slope(model.filters[k], at)) < 1e-4
+        assert abs(got[f"b{k}"][0][2] - slope(model.biases[k], 2)) < 1e-4
+    assert abs(got["out"][0][4] - 1e-4 * model.out[4] - slope(model.out, 4)) < 1e-4
+    g, rows = got["t0"]
+    for r in (0, len(rows) // 2):
+        assert abs(g[r, 1] - slope(model.tables[0], (rows[r], 1))) < 1e-4
+
+
+def test_a_language_has_its_own_threshold_where_it_gains():
+    rng = np.random.default_rng(7)
+    texts, y, langs = [], [], []
+    for i in range(1600):
+        lang, toxic = ("aa", "bb")[i % 2], rng.random() < 0.5
+        word = "vile" if toxic else "fair"
+        if lang == "bb" and rng.random() < 0.45:  # here a third word means toxic, which is rare elsewhere
+            word = "odd" if toxic else "fair"
+        texts.append(" ".join([word, *rng.choice(["one", "two", "three", "four"], 5)]))
+        y.append(int(toxic))
+        langs.append(lang)
+    model = toxicity.train(texts, np.array(y), langs)
+    score = model.scores(texts)
+    for lang in ("aa", "bb"):
+        own = np.array(langs) == lang
+        cut = model.thresholds[lang]
+        assert 0 < cut < 1 and ((score[own] >= cut) == np.array(y)[own]).mean() >= ((score[own] >= 0.5) == np.array(y)[own]).mean() - toxicity.SPARE
+    score = np.array([0.1, 0.2, 0.3, 0.35, 0.4, 0.45, 0.8, 0.9])
+    assert 0.3 < toxicity._best_threshold(score, np.array([0, 0, 0, 1, 1, 1, 1, 1])) < 0.35
+    assert 0.45 < toxicity._best_threshold(score, np.array([0, 0, 0, 0, 0, 0, 1, 1])) < 0.8
