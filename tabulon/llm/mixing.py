@@ -33,8 +33,30 @@ MOST_ROUNDS = 400
 ROUNDS_PER_LOOK = 4
 #: Cells up to so many are raked in one partition and broadcast (under 100 bytes each).
 FEW_CELLS = 50_000
-#: Words from which a text counts as the next length class, where documents have no topic.
-LENGTHS = {"short": 0, "medium": 100, "long": 400, "very long": 1600}
+#: Stems by topic, in English, French, German and Spanish, for documents without a column ``topic``.
+TOPICS = {
+    "law": ("attorney", "avocat", "contract", "copyright", "court", "gericht", "gesetz", "judge", "juge", "law", "legal", "licen", "lizenz", "tribunal", "vertrag", "warrant"),
+    "business": ("bank", "business", "commerce", "compan", "econom", "empresa", "entreprise", "finan", "handel", "invest", "market", "mercado", "price", "unternehmen", "wirtschaft"),
+    "computing": ("algorithm", "api", "code", "comput", "datei", "fichier", "hardware", "informati", "internet", "logiciel", "password", "program", "rechner", "server", "software"),
+    "science": ("astronom", "atom", "biolog", "chem", "cienc", "energ", "experiment", "forschung", "laborator", "math", "physi", "research", "scien", "theor", "wissenschaft"),
+    "health": ("arzt", "cancer", "disease", "doctor", "enfermedad", "gesund", "health", "hospital", "kranken", "maladie", "medic", "patient", "salud", "therap", "vaccin"),
+    "sport": ("athlet", "baseball", "basketball", "campeon", "championn", "coach", "football", "futbol", "league", "mannschaft", "olympi", "player", "spieler", "sport", "tennis"),
+    "arts": ("album", "artist", "cinema", "film", "galer", "kunst", "litera", "museo", "museum", "music", "musik", "musique", "novel", "poem", "theat"),
+    "politics": ("congress", "democra", "election", "gobierno", "gouvern", "govern", "minist", "parlament", "parliament", "partei", "polit", "presiden", "regierung", "senat", "vote"),
+}
+#: The topic of a text with no word that begins with one of these.
+NO_TOPIC = "general"
+
+
+def _stem_pattern() -> str:
+    """What finds a word's beginning that is one of the stems, its first letter in either case, tried by first letters."""
+    by_first: dict[str, list[str]] = {}
+    for stem in sorted({t for own in TOPICS.values() for t in own}):
+        by_first.setdefault(stem[0], []).append(stem[1:])
+    return r"(?:^|[^\p{L}])(" + "|".join(f"[{c.upper()}{c}](?:{'|'.join(rest)})" for c, rest in by_first.items()) + ")"
+
+
+STEM = _stem_pattern()
 
 
 def tokens(text: Column) -> Column:
@@ -42,11 +64,19 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def length_class(n: Column) -> Column:
-    out = None
-    for name, least in sorted(LENGTHS.items(), key=lambda x: -x[1]):
-        out = F.when(n >= least, name) if out is None else out.when(n >= least, name)
-    return out
+def topic(text: Column) -> Column:
+    """The topic with the most words that begin with one of its stems, of equals the first in ``TOPICS``; else ``NO_TOPIC``."""
+
+    def count(stems: Column, own: tuple[str, ...]) -> Column:
+        return F.size(F.filter(stems, lambda t: F.lower(t).isin(*own)))
+
+    def most(stems: Column) -> Column:
+        counts = [F.struct(count(stems, own).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("topic")) for i, (name, own) in enumerate(TOPICS.items())]
+        return F.array_max(F.array(*counts, F.struct(F.lit(0).alias("n"), F.lit(1).alias("place"), F.lit(NO_TOPIC).alias("topic"))))
+
+    # the texts are searched once, since the lambda's argument is a value
+    stems = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(STEM), F.lit(1))
+    return F.transform(F.array(stems), most)[0]["topic"]
 
 
 def _described(docs: DataFrame) -> Column:
@@ -56,8 +86,8 @@ def _described(docs: DataFrame) -> Column:
     def value(c: str) -> Column:
         return F.coalesce(docs[c].cast("string"), F.lit("")) if c in docs.columns else F.lit("")
 
-    topic = value("topic") if "topic" in docs.columns else length_class(n)
-    return F.struct(n.alias("tokens"), value("source").alias("source"), value("lang").alias("lang"), topic.alias("topic"))
+    about = value("topic") if "topic" in docs.columns else topic(docs["text"])
+    return F.struct(n.alias("tokens"), value("source").alias("source"), value("lang").alias("lang"), about.alias("topic"))
 
 
 def _with_targets(work: Scratch, cells: DataFrame, given: dict[str, dict[str, float]], few: bool) -> DataFrame:
@@ -154,8 +184,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, tol
 
     ``targets`` gives shares of tokens by value for any of source, lang and topic; values not
     named get none; a marginal not given gets its shares to the power in ``POWERS``. Nulls are a
-    value of their own, returned as ''. Without a column ``topic`` the length class stands in for
-    it. Texts without words add no weight and share the probability of their cell; a cell
+    value of their own, returned as ''. Without a column ``topic`` it is read from the text, by the
+    stems in ``TOPICS``. Texts without words add no weight and share the probability of their cell; a cell
     without words isn't sampled. Rows that repeat a doc_id share its draw. Other columns aren't read; an empty table gives an empty result.
     """
     got, own = _with_probability(docs.select([c for c in ("doc_id", "text", "source", "lang", "topic") if c in docs.columns]), targets, tolerance, seed)
@@ -175,12 +205,15 @@ def keep_sampled(docs: DataFrame, targets: dict[str, dict[str, float]] | None =
 
 
 def mix_sql(table: str = "documents", tolerance: float = TOLERANCE, most_rounds: int = MOST_ROUNDS, seed: int = 7) -> str:
-    """DuckDB SQL for the rows of ``mix`` with its default targets, for a table without a topic."""
-    cases = " ".join(f"WHEN n >= {least} THEN '{name}'" for name, least in sorted(LENGTHS.items(), key=lambda x: -x[1]))
+    """DuckDB SQL for the rows of ``mix`` with its default targets, for a table without a column ``topic``."""
+    counts = {name: f"len(list_filter(stems, lambda t: lower(t) IN ({', '.join(repr(t) for t in own)})))" for name, own in TOPICS.items()}
+    most = f"greatest({', '.join(counts.values())})"
+    cases = f"CASE WHEN len(stems) = 0 THEN '{NO_TOPIC}' " + " ".join(f"WHEN {n} = {most} THEN '{name}'" for name, n in counts.items()) + " END"
     keys = ", ".join(POWERS)
     ctes = [
-        rf"d0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM {table})",
-        f"d AS (SELECT doc_id, source, lang, n, CASE {cases} END AS topic FROM d0)",
+        rf"d0 AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n, "
+        f"regexp_extract_all(coalesce(text, ''), '{STEM}', 1) AS stems FROM {table})",
+        f"d AS (SELECT doc_id, source, lang, n, {cases} AS topic FROM d0)",
         f"c AS (SELECT {keys}, CAST(sum(n) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(n) > 0)",
     ]
     for dim, power in POWERS.items():

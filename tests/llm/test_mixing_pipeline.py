@@ -1,5 +1,6 @@
 import subprocess
 import sys
+import unicodedata
 
 import numpy as np
 import pytest
@@ -79,6 +80,32 @@ def test_given_targets(spark, docs_of):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in rows if r.sampled}
 
 
+def brute_topic(text):
+    """Word beginnings one by one, with no pattern of all stems."""
+    counts = dict.fromkeys(mixing.TOPICS, 0)
+    for at, c in enumerate(text or ""):
+        if at and unicodedata.category(text[at - 1])[0] == "L":
+            continue
+        for name, own in mixing.TOPICS.items():
+            counts[name] += any((c.lower() if c.isascii() else c) + text[at + 1 : at + len(stem)] == stem for stem in own)
+    best = max(counts.values())
+    return mixing.NO_TOPIC if best == 0 else next(k for k, n in counts.items() if n == best)
+
+
+def test_topics_of_texts(spark, docs_of):
+    texts = [None, "", " ", "law", "Lawyers law", "LAW", "flaw", "élaw law", "law,law music", "music law", "musique\nMuseum court", "the film of 2films (film)", "law " * 5000 + "film " * 5001]
+    assert [r.topic for r in mixing.mix(docs_of(list(enumerate(texts)))).orderBy("doc_id").collect()] == [brute_topic(t) for t in texts]
+    assert [brute_topic(t) for t in texts[3:10]] == ["law", "law", "general", "general", "law", "law", "law"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    said = {r.doc_id: r.text for r in docs.collect()}
+    assert all(r.topic == brute_topic(said[r.doc_id]) for r in mixing.mix(docs).collect())
+
+
+def test_no_stem_begins_another():
+    stems = sorted(t for own in mixing.TOPICS.values() for t in own)
+    assert len(set(stems)) == len(stems) and not any(b.startswith(a) for a, b in zip(stems, stems[1:], strict=False))
+
+
 def test_mix_odd_tables(docs_of):
     assert mixing.mix(docs_of([])).count() == 0
     rows = mixing.mix(docs_of([(1, None), (2, "a"), (2, "a"), (None, "b")], lang=None, source=None)).collect()
