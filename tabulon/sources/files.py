@@ -32,12 +32,17 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).select(_relative(path).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def file_states(local: DataFrame, manifest: DataFrame) -> DataFrame:
+def file_states(local: DataFrame, manifest: DataFrame, requested: DataFrame | None = None) -> DataFrame:
     """(path, state) of files here and in a manifest, both (path, size, sha256), what differs first.
 
     States: new (only here), missing (only in the manifest), conflict (both, with other contents)
-    and synced.
+    and synced. With ``requested``, a table with a column path, these files come first instead, then
+    the others, each by path; paths that are neither here nor in the manifest add no row.
     """
     a, b = local.select("path", F.col("sha256").alias("_a")), manifest.select("path", F.col("sha256").alias("_b"))
     state = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "missing").when(F.col("_a") != F.col("_b"), "conflict").otherwise("synced")
-    return a.join(b, "path", "full_outer").select("path", state.alias("state")).orderBy((F.col("state") == "synced"), "path")
+    out = a.join(b, "path", "full_outer").select("path", state.alias("state"))
+    if requested is None:
+        return out.orderBy((F.col("state") == "synced"), "path")
+    wanted = requested.select("path").distinct().withColumn("_wanted", F.lit(True))
+    return out.join(wanted, "path", "left").orderBy(F.col("_wanted").isNull(), "path").select("path", "state")

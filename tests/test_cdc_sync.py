@@ -223,6 +223,8 @@ def test_files(spark, tmp_path):
     mine = files.digests(spark, str(tmp_path)).filter("path not like '.%'")
     theirs = mine.filter("path <> 'b.txt'").withColumn("sha256", F.when(F.col("path") == "A.txt", "0").otherwise(F.col("sha256")))
     assert {r.path: r.state for r in files.file_states(mine, theirs).collect()} == {"b.txt": "new", "A.txt": "conflict", "d/c.txt": "synced"}
+    wanted = spark.createDataFrame([("d/c.txt",), ("d/c.txt",), ("nowhere",), (None,)], "path string")
+    assert [r.path for r in files.file_states(mine, theirs, wanted).collect()] == ["d/c.txt", "A.txt", "b.txt"]
 
 
 def test_porter():
