@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -215,3 +216,41 @@ def test_words_together_are_as_words_alone():
             for text, (own, rows) in zip(some, seg.encode(some), strict=True):
                 assert seg.ids(rows).tolist() == [i for w in lat.words(text) for i in lat.best("▁" + w)[0]]
                 assert own == lat.words(text) and seg.ok[rows].all()
+
+
+def test_unknown_characters_are_segmented_with_the_others(monkeypatch):
+    lat = _lattice.lattice(PIECES)
+    words = ["the.\nThe", "\n", "a\x00b", "\U0001f9ff", "né\n漢", "the", ""]
+    want = [lat.best("▁" + w) for w in words]
+    monkeypatch.setattr(_lattice.Lattice, "best", None)  # one at a time, a line feed in a word took most of the time
+    monkeypatch.setattr(_lattice.Lattice, "words", None)  # and so did words that came up before
+    ids, sizes, score, gap = lat.best_of_all(words)
+    ends = np.cumsum(sizes)
+    assert [(ids[e - n : e].tolist(), s, g) for e, n, s, g in zip(ends, sizes, score, gap, strict=True)] == want
+    (own, rows), = sp_nbest.Segmenter(lat).encode([" ".join(words)])
+    assert own == words
+
+
+def test_rows_of_a_slice():
+    lat = _lattice.lattice(PIECES)
+    texts = pa.array(["no", None, "", "a b\u2581c", " ", "", None, "b  a\nd", "no"])[1:-1]
+    seg = sp_nbest.Segmenter(lat)
+    rows, counts = seg.rows(texts)
+    words = [lat.words(t or "") for t in texts.to_pylist()]
+    assert counts.tolist() == [len(w) for w in words] and [seg.names[r] for r in rows] == [w for ws in words for w in ws]
+    assert [len(seg.rows(pa.array(t, pa.string()))[0]) for t in ([], [None], [""])] == [0, 0, 0]
+
+
+def test_trie_finds_all_pieces_and_no_others(monkeypatch):
+    rng = random.Random(5)
+    ids = {w: i for i, w in enumerate({"".join(rng.choice("abcé漢") for _ in range(rng.randrange(1, 5))) for _ in range(200)})}
+    for tries in (_lattice.Trie.TRIES, 0):  # with none, everything goes to the end
+        monkeypatch.setattr(_lattice.Trie, "TRIES", tries)
+        trie = _lattice.Trie(ids)
+        for n in range(1, 6):
+            for text in map("".join, itertools.product("abcé漢x", repeat=n)):
+                state = 0
+                for c in text:
+                    to = trie.base[state] + trie.classes[ord(c)]
+                    state = to if trie.owner[to] == state else len(trie.base) - 1
+                assert trie.piece[state] == ids.get(text, -1)
