@@ -254,3 +254,13 @@ def test_trie_finds_all_pieces_and_no_others(monkeypatch):
                     to = trie.base[state] + trie.classes[ord(c)]
                     state = to if trie.owner[to] == state else len(trie.base) - 1
                 assert trie.piece[state] == ids.get(text, -1)
+
+
+def test_remembered_ways_are_bounded_by_their_ids(monkeypatch):
+    monkeypatch.setattr(sp_nbest, "WAYS", 3000)
+    seg, rng = sp_nbest.Segmenter(_lattice.lattice(PIECES)), random.Random(8)
+    for _ in range(20):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(3)]
+        (own, rows), = seg.encode([" ".join(words)])
+        assert [s for s, _ in seg.nbest(own, rows, 4)] == seg.best_scores(rows, np.array([3]), 4)[0]
+    assert 0 < sum(len(p.ids) for got in seg.ways.values() for p in got) < 3000 + 4 * 200
